@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from regionlab.llm import confusables, repetition
+from regionlab.llm import confusables, repetition, subjects
 from regionlab.operators import records
 from regionlab.session import spread, table
 
@@ -56,5 +56,31 @@ def p4_shares(spark: SparkSession, d: str) -> DataFrame:
     return s.select("row_id", "s.words", "s.repeated_words", "s.repeated_lines", "s.repeated_sentences", "s.top_run")
 
 
-QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p1_canonical": p1_canonical, "p4_found": p4_found, "p4_shares": p4_shares}
+def _mixtures(spark: SparkSession, d: str) -> DataFrame:
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
+    return subjects.subject_mixtures(docs, table(spark, d, "doc_labels").select("doc_id", "subject"), table(spark, d, "subjects"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with each subject that about a fifth of their sentences or more deal with."""
+    return subjects.subjects_of(_mixtures(spark, d)).select("doc_id", "subject")
+
+
+def p8_composition(spark: SparkSession, d: str) -> DataFrame:
+    """Make-up of the corpus: documents that have a subject, sentences that deal with it and its part of all such sentences."""
+    by = _mixtures(spark, d).groupBy("subject").agg(F.sum((F.col("share") >= subjects.MIN_SHARE).cast("long")).alias("documents"), F.sum("sentences").alias("sentences"))
+    # a row per subject: the total over the few of them
+    total = by.agg(F.sum("sentences").alias("t"))
+    return by.join(F.broadcast(total)).select("subject", "documents", "sentences", F.round(F.col("sentences") / F.col("t"), 6).alias("share"))
+
+
+QUERIES = {
+    "p1_found": p1_found,
+    "p1_groups": p1_groups,
+    "p1_canonical": p1_canonical,
+    "p4_found": p4_found,
+    "p4_shares": p4_shares,
+    "p8_found": p8_found,
+    "p8_composition": p8_composition,
+}
 SQL: dict[str, str] = {}
