@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from regionlab.llm import confusables, repetition, subjects
+from regionlab.llm import confusables, mixing, packing, repetition, subjects, tokens
 from regionlab.operators import records
-from regionlab.session import spread, table
+from regionlab.session import spread, table, written
 
 
 def _pages(spark: SparkSession, d: str, *cols: str) -> DataFrame:
@@ -56,6 +56,37 @@ def p4_shares(spark: SparkSession, d: str) -> DataFrame:
     return s.select("row_id", "s.words", "s.repeated_words", "s.repeated_lines", "s.repeated_sentences", "s.top_run")
 
 
+def _limits(spark: SparkSession, d: str) -> dict[str, int]:
+    return {r["limit_name"]: r["capacity_tokens"] for r in table(spark, d, "pack_limits").collect()}
+
+
+def p6_packed(spark: SparkSession, d: str) -> DataFrame:
+    """Every piece of every document with the container it lies in, for each capacity."""
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
+    return packing.pack(packing.sized(docs, tokens.token_count(F.col("text"))), _limits(spark, d))
+
+
+def p6_containers(spark: SparkSession, d: str) -> DataFrame:
+    """Every container with its unused room."""
+    return packing.containers(p6_packed(spark, d))
+
+
+def _mix(spark: SparkSession, d: str):
+    docs = spread(table(spark, d, "documents").select("doc_id", "source", "text"))
+    sized = written(docs.select("doc_id", "source", tokens.token_count(F.col("text")).alias("n_tokens")))
+    return mixing.mix(sized, table(spark, d, "mix_targets"))
+
+
+def p7_mixed(spark: SparkSession, d: str) -> DataFrame:
+    """The chosen documents with their repeats."""
+    return _mix(spark, d)[0]
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and reached share of every source."""
+    return mixing.reached(*_mix(spark, d))
+
+
 def _mixtures(spark: SparkSession, d: str) -> DataFrame:
     docs = spread(table(spark, d, "documents").select("doc_id", "text"))
     return subjects.subject_mixtures(docs, table(spark, d, "doc_labels").select("doc_id", "subject"), table(spark, d, "subjects"))
@@ -80,6 +111,10 @@ QUERIES = {
     "p1_canonical": p1_canonical,
     "p4_found": p4_found,
     "p4_shares": p4_shares,
+    "p6_packed": p6_packed,
+    "p6_containers": p6_containers,
+    "p7_mixed": p7_mixed,
+    "p7_shares": p7_shares,
     "p8_found": p8_found,
     "p8_composition": p8_composition,
 }
