@@ -29,11 +29,15 @@ LOOKALIKES = (
     "WԜ", "XХΧ", "YΥҮ", "ZΖ",
 )
 
-# anything but printable ASCII, line breaks, the letters of the modern Cyrillic block and Ґ ґ needs the full treatment
-_SUSPECT = re.compile(r"[^\t\n\r\x20-\x7eЀ-џҐґ]")
+# Anything but printable ASCII, line breaks, the letters of the modern Cyrillic block and Ґ ґ, and common signs that stand for themselves
+# needs the full treatment; an acute accent does if it follows no Cyrillic vowel.
+_SUSPECT = re.compile("[^\\t\\n\\r\\x20-\\x7eЀ-џҐґ\u0301№·−√≈—–°½²³₀-₉…«»„“”’•]|(?<![аеиоуюяєіїэыАЕИОУЮЯЄІЇЭЫ])\u0301")
 _WORD = re.compile(r"(?:[^\W_]|[̀-ͯ])+")
-# of such a text, a word of two alphabets
-_MIXED = re.compile(r"[A-Za-z]\d*[Ѐ-ӿ]|[Ѐ-ӿ]\d*[A-Za-z]")
+# of a text without suspects, a word of two alphabets: a Latin letter beside a Cyrillic one, signs of words between them or not
+_BETWEEN = "[\\d\u0301²³₀-₉]*"
+_MIXED = re.compile(f"[A-Za-z](?:(?={_BETWEEN}[Ѐ-џҐґ])|(?<=[Ѐ-џҐґ][A-Za-z])|(?<=[Ѐ-џҐґ][\\d\u0301²³₀-₉][A-Za-z])|(?<=[\\d\u0301²³₀-₉]{{2}}[A-Za-z]))")
+# a word that holds letters of the Cyrillic block only
+_ONE_ALPHABET = re.compile("[Ѐ-ӿ\u0300-\u036f\\d²³₀-₉½]+")
 
 
 def _plain(ch: str) -> str:
@@ -122,7 +126,8 @@ def canonical(text: str | None) -> str | None:
         return text
     s = unicodedata.normalize("NFC", text.translate(_plain_table)) if suspect else text
     if not s.isascii():
-        swaps = {w: o for w in set(_WORD.findall(s)) if not w.isascii() and (o := _own_alphabet(w)) != w}
+        words_ = {w for w in _WORD.findall(s) if not w.isascii()}
+        swaps = {w: o for w in words_ if not _ONE_ALPHABET.fullmatch(w) and (o := _own_alphabet(w)) != w}
         if swaps:
             s = _WORD.sub(lambda m: swaps.get(m[0], m[0]), s)
     return s
