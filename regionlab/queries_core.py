@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from regionlab.operators import nested, records
 from regionlab.session import spread, table
+from regionlab.sql_reference import P2_FOUND
 
 
 def _raw(spark: SparkSession, d: str) -> DataFrame:
@@ -45,9 +46,6 @@ def p2_errors(spark: SparkSession, d: str) -> DataFrame:
     return raw.select("line_id", F.posexplode("errors").alias("error_no", "e")).select("line_id", "error_no", "e.reason", "e.field", F.col("e.at").alias("error_at"), "e.message")
 
 
-NODE_KEYS = ["row_id"]
-
-
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """One row for every non-null region, line, word and alternative."""
     nodes = nested.interval_nodes(table(spark, d, "metadata").select("row_id", "regions"), "regions", ["row_id"], payload=False)
@@ -109,6 +107,7 @@ t AS (SELECT row_id, region_idx, line_idx, word_idx, alt_idx, node_pre, (node_pr
 _BOX = "array_to_string(list_transform({0}, lambda x: coalesce(x::VARCHAR, 'null')), ',')"
 
 SQL = {
+    "p2_found": P2_FOUND,
     "p3_found": _ALL,
     "p3_regions": f"""{_LABELS} SELECT t.row_id, s.file_name, node_pre, node_post, node_last, region_idx, {_BOX.format("r.bbox")} AS bbox, r.type AS "type", r.language AS language, r.legibility AS legibility, r.text AS "text"
 FROM t JOIN ({_R}) s ON t.row_id = s.row_id AND t.region_idx = s.ri WHERE lvl = 1""",
