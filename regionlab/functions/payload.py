@@ -16,10 +16,20 @@ _WIDEST = r"(?s)[\[\{].*[\]\}]"
 _WIDEST_LIST = r"(?s)\[.*\]"
 
 
+def strict_json(raw: Column) -> Column:
+    """Variant of a text that is JSON from end to end, else null.
+
+    ``try_parse_json`` is content with a value at the text's beginning. What follows it shows as an error once the text stands inside
+    a list and inside an object: no rest can close both.
+    """
+    inside = F.try_parse_json(F.concat(F.lit('{"v":'), raw, F.lit("}")))
+    return F.when(F.try_parse_json(F.concat(F.lit("["), raw, F.lit("]"))).isNotNull(), F.try_variant_get(inside, "$.v", "variant"))
+
+
 def parse_json(raw: Column) -> Column:
     """Variant of the answer: all of it, else its widest part between brackets, else null. Error markers and empty answers are null."""
-    whole = F.try_parse_json(raw)
-    part = F.try_parse_json(F.nullif(F.regexp_extract(raw, _WIDEST, 0), F.lit("")))
+    whole = strict_json(raw)
+    part = strict_json(F.nullif(F.regexp_extract(raw, _WIDEST, 0), F.lit("")))
     return F.when(raw.isNull() | (raw == "") | raw.startswith("[ERROR:"), F.lit(None)).otherwise(F.coalesce(whole, part))
 
 
@@ -112,7 +122,7 @@ def repaired(raw: Column) -> Column:
 
     def of(s: Column) -> Column:
         cut = F.concat(F.regexp_extract(s, r"(?s)^.*\}", 0), F.lit("]"))
-        return F.when(F.try_parse_json(s).isNotNull(), s).when(F.contains(s, F.lit("}")) & F.try_parse_json(cut).isNotNull(), cut).otherwise("[]")
+        return F.when(strict_json(s).isNotNull(), s).when(F.contains(s, F.lit("}")) & strict_json(cut).isNotNull(), cut).otherwise("[]")
 
     return bind(F.regexp_extract(F.coalesce(raw, F.lit("")), _WIDEST_LIST, 0), lambda s: F.when(s == "", "[]").otherwise(of(s)))
 

@@ -13,7 +13,10 @@ _NAME = "regexp_extract(file_name, '[^/]*$')"
 _ELEMENT_OK = f"""(json_type(e) = 'OBJECT' AND json_type(e, '$.bbox') = 'ARRAY' AND json_array_length(e, '$.bbox') = 4
   AND len(list_filter(json_extract(e, '$.bbox[*]'), lambda v: json_type(v) NOT IN ('BIGINT', 'UBIGINT', 'DOUBLE', 'HUGEINT'))) = 0
   AND (NOT json_exists(e, '$.type') OR (json_type(e, '$.type') = 'VARCHAR' AND json_extract_string(e, '$.type') IN ({_TYPE_LIST}))))"""
-_ARRAY = "CASE WHEN json_valid({0}) THEN CASE WHEN json_type({0}) = 'ARRAY' THEN json_extract({0}, '$[*]') END END"
+# this JSON parser lets trailing commas and NaN pass; standard JSON has neither
+_BARE = r"""regexp_replace({0}, '"([^"\\]|\\.)*"', '0', 'g')"""
+_STRICT = f"""(json_valid({{0}}) AND NOT regexp_matches({_BARE}, '(?i),\\s*[\\]}}]|nan|inf'))"""
+_ARRAY = f"CASE WHEN {_STRICT} THEN CASE WHEN json_type({{0}}) = 'ARRAY' THEN json_extract({{0}}, '$[*]') END END"
 _REGIONS_OK = f"""coalesce(({{0}} IS NULL OR {{0}} = '' OR len(list_filter({_ARRAY}, lambda e: NOT coalesce({_ELEMENT_OK}, false))) = 0), false)"""
 _UUID = "[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}[.]jpg"
 
@@ -115,7 +118,7 @@ AND coalesce(rtype, 'handwritten') NOT IN ('image', 'graph')"""
 _CYR2 = "length(regexp_replace(x, '[^А-ЯҐЄІЇа-яґєії]', '', 'g')) >= 2"
 _RES = "(SELECT result_id, ri::INT AS idx, r.type AS rtype, r.bbox AS bbox, r.transcription AS tr FROM (SELECT result_id, unnest(regions) AS r, unnest(range(len(regions))) AS ri FROM page_results) WHERE r IS NOT NULL)"
 _WIDE = r"regexp_extract(regions, '(?s)[\[\{].*[\]\}]')"
-_ANSWER = f"CASE WHEN regions IS NULL OR regions = '' OR regions LIKE '[ERROR:%' THEN NULL WHEN json_valid(regions) THEN regions WHEN json_valid({_WIDE}) THEN {_WIDE} END"
+_ANSWER = f"CASE WHEN regions IS NULL OR regions = '' OR regions LIKE '[ERROR:%' THEN NULL WHEN {_STRICT.replace("{0}", "regions")} THEN regions WHEN {_STRICT.replace("{0}", _WIDE)} THEN {_WIDE} END"
 _ITEMS = f"""(SELECT row_id, CASE json_type(j) WHEN 'ARRAY' THEN json_extract(j, '$[*]') WHEN 'OBJECT' THEN coalesce(json_extract(j, '$.blocks[*]'), []) || CASE WHEN json_exists(j, '$.blocks') THEN [] ELSE coalesce(json_extract(j, '$.regions[*]'), []) END ELSE [] END AS items
 FROM (SELECT row_id, {_ANSWER} AS j FROM sample_submission))"""
 _CROP = f"""(SELECT row_id, file_name, idx, {_strip("coalesce(rtext, '')")} AS txt, image_width AS w, image_height AS h,
