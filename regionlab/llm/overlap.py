@@ -38,7 +38,7 @@ from regionlab.session import shared_dir, written
 MIN_COMMON = 0.75
 MIN_COVER = 0.15
 SHARD_WORDS = 1_500_000
-EXPAND = 2_000_000  # hits expanded at a time; more are taken in several steps
+EXPAND = 1_000_000  # hits expanded at a time, or those of one query
 
 
 def seed_length(n: int) -> int:
@@ -137,33 +137,33 @@ class Index:
         ends = np.repeat(np.cumsum(lens), lens)
         at, low, high = self.search(symbols, ends)
         of = np.repeat(np.arange(len(queries)), lens)
+        # equal runs of one query have one interval, which is looked up once: a query's hits are no more than the shard's words
+        _, once, times = np.unique(of[at] * (len(self.text) + 1) + low, return_index=True, return_counts=True)
+        at, low, hits, query = at[once], low[once], (high - low)[once], of[at[once]]
         # whole queries at a time, so that all hits of a pair are merged together
-        query = of[at]
-        hits = high - low
         bounds = np.flatnonzero(np.r_[True, query[1:] != query[:-1]]) if len(query) else np.empty(0, np.int64)
-        done = np.cumsum(hits)
+        ends_of = np.r_[bounds[1:], len(query)]
+        done = np.r_[0, np.cumsum(hits)]
         begin = 0
         while begin < len(bounds):
-            base = done[bounds[begin] - 1] if bounds[begin] else 0
-            stop = begin + 1
-            while stop < len(bounds) and done[bounds[stop] - 1] - base <= EXPAND and stop - begin < 4096:
-                stop += 1
-            a, b = bounds[begin], bounds[stop] if stop < len(bounds) else len(query)
-            yield from self._merge(at[a:b], low[a:b], hits[a:b], of)
+            a = bounds[begin]
+            stop = max(begin + 1, int(np.searchsorted(done[ends_of], done[a] + EXPAND, side="right")))
+            b = ends_of[stop - 1]
+            yield from self._merge(query[a:b], at[a:b], low[a:b], hits[a:b], times[a:b])
             begin = stop
 
-    def _merge(self, at, low, hits, of) -> Iterator[tuple[int, int, int]]:
-        where = np.repeat(at, hits)
+    def _merge(self, query, at, low, hits, times) -> Iterator[tuple[int, int, int]]:
+        """(query, text, words covered): the union of the matches' words, those of runs that a query repeats counted for each repeat."""
         rank = np.repeat(low - np.r_[0, np.cumsum(hits)[:-1]], hits) + np.arange(hits.sum())
-        place = self.suffixes[rank]
-        text = np.searchsorted(self.starts, place, side="right") - 1
-        query = of[where]
-        order = np.lexsort((place - where, where, text, query))
-        query, text, where = query[order], text[order], where[order]
+        text = np.searchsorted(self.starts, self.suffixes[rank], side="right") - 1
+        query, where, times = np.repeat(query, hits), np.repeat(at, hits), np.repeat(times, hits)
+        order = np.lexsort((where, text, query))
+        query, text, where, times = query[order], text[order], where[order], times[order]
         new = np.r_[True, (query[1:] != query[:-1]) | (text[1:] != text[:-1])]
-        # words of the query that the matches cover: each hit adds those behind its predecessor's
+        again = np.r_[False, where[1:] == where[:-1]] & ~new  # the same run at another place of the same text
         step = np.minimum(np.r_[self.seed, np.diff(where)], self.seed)
         step[new] = self.seed
+        step = np.where(again, 0, step + (times - 1) * self.seed)
         starts = np.flatnonzero(new)
         cover = np.add.reduceat(step, starts)
         yield from zip(query[starts].tolist(), text[starts].tolist(), cover.tolist(), strict=True)
@@ -257,8 +257,9 @@ def close_texts(p: DataFrame, shard_words: int = SHARD_WORDS, min_common: float
     shards = plan_shards(lengths, shard_words)
     if not shards:
         return spark.createDataFrame([], schema)
-    ranges = spark.createDataFrame([(s.no, s.shortest, s.longest, s.seed, s.parts) for s in shards], "no int, shortest int, longest int, seed int, parts int")
-    dealt = held.join(F.broadcast(ranges), (F.col("n") >= F.col("shortest")) & (F.col("n") <= F.col("longest")))
+    # a row per length that occurs
+    rows = [(n, s.no, s.seed, s.parts) for s in shards for n in lengths if s.shortest <= n <= s.longest]
+    dealt = held.join(F.broadcast(spark.createDataFrame(rows, "n int, no int, seed int, parts int")), "n")
     dealt = dealt.select((F.col("no") + F.pmod(F.xxhash64("text_key"), F.col("parts")).cast("int")).alias("shard"), "seed", "text_key", "words")
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
