@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from regionlab.session import kept
+
 
 @dataclass
 class NodeKind:
@@ -93,21 +95,21 @@ def interval_nodes(df: DataFrame, column: str, keep: list[str], payload: bool =
     """All nodes below ``column``, one row each.
 
     Columns: ``keep`` (of the record), then ``node_kind``, ``node_level`` (1 for the elements of ``column``), ``node_pre``,
-    ``node_post``, ``node_last``, ``node_parent_pre`` is left to the containment join, ``idx_1..idx_depth`` (0-based array positions,
-    null elements counted, -1 below the node's own level) and, with ``payload``, one struct ``at_<level>_<n>`` per node kind.
+    ``node_post``, ``node_last`` (the pre-order number of its last descendant), ``idx_1..idx_depth`` (0-based array positions, null
+    elements counted, -1 below the node's own level) and, with ``payload``, one struct ``at_<level>_<n>`` per node kind.
 
     Null records (a null array), null elements and empty arrays give no node; what lies below a null element does not exist.
-    Positions still count null elements. A column of ``keep`` may bear any name: node columns are prefixed ``node_``/``idx_``/``at_``
-    and a clash raises ``ValueError``.
+    Positions still count null elements. Records that occur twice give their nodes twice. A column of ``keep`` that bears the name of a
+    node column comes out as ``kept_<name>``.
     """
     root = node_kinds(column, df.schema[column].dataType)
     depth = max(k.level for k in root.walk())
     node_type = _node_type(root, depth, payload)
     made = ["node_kind", "node_level", "node_pre", "node_post", "node_last"] + [f"idx_{k}" for k in range(1, depth + 1)]
-    if clash := set(made) & set(keep):
-        raise ValueError(f"columns of the record clash with node columns: {sorted(clash)}")
+    made += [f.name for f in node_type.fields if f.name.startswith("at_")]
+    carried = [F.col(f"`{k}`").alias(n) for k, n in kept(keep, {*made, "__pos", "__node"}).items()]
     nodes = _traverse(F.col(f"`{column}`"), root, root, depth, payload, node_type, [])
-    flat = df.select(*[F.col(f"`{k}`") for k in keep], F.posexplode(nodes).alias("__pos", "__node"))
+    flat = df.select(*carried, F.posexplode(nodes).alias("__pos", "__node"))
     pre = F.col("__pos") + 1
     n = F.col("__node")
     out = [
@@ -117,7 +119,7 @@ def interval_nodes(df: DataFrame, column: str, keep: list[str], payload: bool =
     out += [n[f"i{k}"].alias(f"idx_{k}") for k in range(1, depth + 1)]
     if payload:
         out += [n[f.name].alias(f.name) for f in node_type.fields if f.name.startswith("at_")]
-    return flat.select(*[F.col(f"`{k}`") for k in keep], *out)
+    return flat.select(*[c for c in flat.columns if c not in ("__pos", "__node")], *out)
 
 
 def node_tables(df: DataFrame, column: str, keep: list[str]) -> dict[str, DataFrame]:
@@ -127,10 +129,11 @@ def node_tables(df: DataFrame, column: str, keep: list[str]) -> dict[str, DataFr
     """
     root = node_kinds(column, df.schema[column].dataType)
     nodes = interval_nodes(df, column, keep)
+    carried = nodes.columns[: len(keep)]
     tables = {}
     for n, kind in enumerate(root.walk()):
         own = nodes.where(F.col("node_kind") == kind.name)
-        base = [*keep, "node_level", "node_pre", "node_post", "node_last", *[f"idx_{k}" for k in range(1, kind.level + 1)]]
+        base = [*carried, "node_level", "node_pre", "node_post", "node_last", *[f"idx_{k}" for k in range(1, kind.level + 1)]]
         cols = [F.col(f"`{c}`") for c in base]
         for f in kind.scalars:
             name = f.name if f.name not in base else f"{kind.path[-1]}_{f.name}"

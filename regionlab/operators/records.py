@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from regionlab.session import kept
+
 # The region types a submission may name.
 REGION_TYPES = ("handwritten", "printed", "formula", "table", "annotation", "image", "graph")
 
@@ -272,11 +274,13 @@ def parsed_submission(image: Column, regions: Column, typed: bool = True) -> Col
 def load(df: DataFrame, parsed: Column, *keep: str) -> tuple[DataFrame, DataFrame]:
     """(fit rows, unfit rows): ``keep`` with the typed record, and ``keep`` with the first error and all of them.
 
-    Null lines are unfit (``column_count``); null and empty ``regions`` are fit with an empty list. Extra columns are dropped unless kept.
+    Null lines are unfit (``column_count``); null and empty ``regions`` are fit with an empty list. Rows that occur twice are loaded twice.
+    Extra columns are dropped unless kept; a kept one that bears the name of a made column comes out as ``kept_<name>``.
     """
-    p = df.select(*keep, parsed.alias("__p"))
-    fit = p.where(F.col("__p.reason").isNull()).select(*keep, "__p.image", "__p.regions")
-    unfit = p.where(F.col("__p.reason").isNotNull()).select(*keep, "__p.reason", "__p.error_field", "__p.error_at", "__p.error_message", "__p.errors")
+    names = kept(keep, {"image", "regions", "reason", "error_field", "error_at", "error_message", "errors", "__p"})
+    p = df.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()], parsed.alias("__p"))
+    fit = p.where(F.col("__p.reason").isNull()).select(*names.values(), "__p.image", "__p.regions")
+    unfit = p.where(F.col("__p.reason").isNotNull()).select(*names.values(), "__p.reason", "__p.error_field", "__p.error_at", "__p.error_message", "__p.errors")
     return fit, unfit
 
 

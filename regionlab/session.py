@@ -76,3 +76,8 @@ def spread(df: DataFrame, factor: int = 2) -> DataFrame:
     """
     n = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= n else df.repartition(n * factor)
+
+
+def kept(columns: list[str] | tuple[str, ...], made: set[str]) -> dict[str, str]:
+    """Names that carried columns get beside those an operator makes: a clashing one comes out as ``kept_<name>``."""
+    return {c: f"kept_{c}" if c in made else c for c in columns}
