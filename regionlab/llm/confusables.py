@@ -97,6 +97,7 @@ def _own_alphabet(word: str) -> str:
     """The word with letters of foreign alphabets replaced by look-alikes of its own, as far as there are any.
 
     Its own alphabet is the one with most letters that have no look-alike elsewhere, then the one with most letters, then the first.
+    Other alphabets than Latin and Cyrillic need the most letters: a Greek sign beside Latin letters does not make them Greek.
     """
     firm: dict[str, list[int]] = {}
     for i, ch in enumerate(word):
@@ -107,7 +108,8 @@ def _own_alphabet(word: str) -> str:
             score[1] += 1
     if len(firm) < 2:
         return word
-    own = max(firm, key=lambda s: firm[s])
+    most = max(x[1] for x in firm.values())
+    own = max(firm, key=lambda s: [s in ("LATIN", "CYRILLIC") or firm[s][1] == most, *firm[s]])
     out = []
     for ch in word:
         if (s := _script(ch)) and s != own:

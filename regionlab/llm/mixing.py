@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from regionlab.session import kept
+
 SLICES = 4096
 
 
@@ -69,7 +71,8 @@ def mix(sized: DataFrame, targets: DataFrame, id_col: str = "doc_id", total: flo
 
     ``sized``: (id, ``source``, ``n_tokens``), written, since it is read more than once. Documents of sources without a target, of a null
     source or of no tokens are not chosen. Several targets of one source are added up, with the least cap of them. Equal seeds choose
-    equal documents. ``targets`` is a short list of settings.
+    equal documents. ``targets`` is a short list of settings. Ids that occur twice are documents of their own; an id column named like
+    another column of the result comes out as ``kept_<name>``.
     """
     spark = sized.sparkSession
     wanted: dict[str, tuple[float, float]] = {}
@@ -77,6 +80,8 @@ def mix(sized: DataFrame, targets: DataFrame, id_col: str = "doc_id", total: flo
         if r["s"] is not None:
             w, m = wanted.get(r["s"], (0.0, float("inf")))
             wanted[r["s"]] = (w + (r["target_share"] or 0.0), min(m, float(r["max_repeats"] or 0)))
+    out_id = kept([id_col], {"source", "repeats", "n_tokens"})[id_col]
+    sized, id_col = sized.select(F.col(id_col).alias("__id"), "source", "n_tokens"), "__id"
     docs = sized.select(id_col, source_key(F.col("source")).alias("source"), "n_tokens").where((F.col("n_tokens") > 0) & F.col("source").isin(list(wanted)))
     slice_of = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(SLICES)).cast("int")
     docs = docs.withColumn("__slice", slice_of)
@@ -96,7 +101,7 @@ def mix(sized: DataFrame, targets: DataFrame, id_col: str = "doc_id", total: flo
     rest = at.where(~((F.col("__room") > 0) & (F.col("__room") < F.col("__n")))).withColumn("__more", (F.col("__room") >= F.col("__n")).cast("int"))
     out = ["source", id_col, (F.col("whole") + F.col("__more")).alias("repeats"), "n_tokens"]
     chosen = rest.select(*out).unionByName(cut.select(*out)).where("repeats > 0")
-    return chosen, shares
+    return chosen.withColumnRenamed("__id", out_id), shares
 
 
 def reached(chosen: DataFrame, shares: list[Share]) -> DataFrame:

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from regionlab.session import written
+from regionlab.session import kept, written
 
 BUCKETS = 64  # parts of the items of one size that are numbered apart
 
@@ -100,12 +100,15 @@ def pack(sizes: DataFrame, limits: dict[str, int], id_col: str = "doc_id", size:
 
     ``sizes``: (id, size) with unique ids; it is read several times, so it should be written. Items of null or no size lie in no
     container. ``piece`` is -1 for a whole item, else the 0-based number of the piece of a cut one. Containers are numbered from 0 by
-    limit: first the planned ones, then the full pieces of cut items, one container each. A limit below 1 raises ``ValueError``.
+    limit: first the planned ones, then the full pieces of cut items, one container each. A limit below 1 raises ``ValueError``. Ids that
+    occur twice are items of their own; an id column named like another column of the result comes out as ``kept_<name>``.
     """
     if bad := {k: c for k, c in limits.items() if c < 1}:
         raise ValueError(f"no capacity: {bad}")
     spark = sizes.sparkSession
-    items = sizes.where(F.col(size) > 0).select(id_col, size)
+    out_id = kept([id_col], {"limit_name", "capacity", "container", "piece", "n_tokens"})[id_col]
+    items = sizes.select(F.col(id_col).alias("__id"), F.col(size).alias("__size")).where("__size > 0")
+    id_col, size = "__id", "__size"
     named = F.array(*[F.struct(F.lit(k).alias("limit_name"), F.lit(int(c)).cast("long").alias("capacity")) for k, c in sorted(limits.items())])
     each = items.select(id_col, size, F.explode(named).alias("l")).select(id_col, size, "l.limit_name", "l.capacity")
     # what is planned: whole items and the remainders of cut ones
@@ -140,7 +143,7 @@ def pack(sizes: DataFrame, limits: dict[str, int], id_col: str = "doc_id", size:
     full = cut.withColumn("__r", F.coalesce(running, F.lit(0))).join(per, ["limit_name", "__b"])
     full = full.select("limit_name", "capacity", F.col("__o").alias("o"), F.col("__r").alias("r"), id_col, F.posexplode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)).alias("piece", "p"))
     full = full.select("limit_name", "capacity", (F.col("o") + F.col("r") + F.col("p")).alias("container"), id_col, "piece", F.col("capacity").alias("n_tokens"))
-    return planned.unionByName(full)
+    return planned.unionByName(full).withColumnRenamed("__id", out_id)
 
 
 MOST_SLOTS = 200_000  # slots that are broadcast (some 10 MB); beyond, the plan is joined by shuffle

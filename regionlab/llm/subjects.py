@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from regionlab.llm.confusables import canonical
-from regionlab.session import written
+from regionlab.session import kept, written
 
 BINS = 1 << 18  # columns of the document-term matrix
 MIN_DOCS = 3  # words of fewer documents are slips of the pen
@@ -223,11 +223,18 @@ def mixtures(matrix: DataFrame, id_col: str, model: Model, trace: float = TRACE)
 
 
 def subject_mixtures(docs: DataFrame, labels: DataFrame, subjects: DataFrame, id_col: str = "doc_id", text: str = "text", sweeps: int = SWEEPS) -> DataFrame:
-    """Seeds, factorization and mixtures in one. ``subjects`` (``subject``, ``description``) is a short fixed list."""
+    """Seeds, factorization and mixtures in one. ``subjects`` (``subject``, ``description``) is a short fixed list.
+
+    Documents without an id are left out; ids that occur twice are documents of their own with the labels of both. An id column named
+    like another column of the result comes out as ``kept_<name>``.
+    """
     named = subjects.orderBy("subject_id").collect()
-    matrix = term_matrix(docs, id_col, text)
-    model = seed(matrix, id_col, labels, [r["subject"] for r in named], [r["description"] or "" for r in named])
-    return mixtures(matrix, id_col, factor(matrix, model, sweeps))
+    docs = docs.select(F.col(id_col).alias("__id"), F.col(text).alias("__text")).where("__id is not null")
+    matrix = term_matrix(docs, "__id", "__text")
+    labels = labels.select(F.col(id_col).alias("__id"), "subject")
+    model = seed(matrix, "__id", labels, [r["subject"] for r in named], [r["description"] or "" for r in named])
+    out = kept([id_col], {"subject", "sentences", "share", "weight"})[id_col]
+    return mixtures(matrix, "__id", factor(matrix, model, sweeps)).withColumnRenamed("__id", out)
 
 
 def subjects_of(mixed: DataFrame, min_share: float = MIN_SHARE) -> DataFrame:
