@@ -16,6 +16,7 @@ from typing import Protocol
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from regionlab.functions import payload
 from regionlab.functions.geometry import bands
@@ -74,7 +75,7 @@ def call_with_retry(backend: VisionBackend, attempts: int, *args, wait=time.slee
 
 def ask(tasks: DataFrame, backend: VisionBackend, attempts: int = 4) -> DataFrame:
     """``tasks`` (``task``, ``image``, ``box``, ``rtype`` and others) with ``raw``, ``frame_w``, ``frame_h``."""
-    schema = tasks.schema.add("raw", "string").add("frame_w", "int").add("frame_h", "int")
+    schema = T.StructType([*tasks.schema.fields, T.StructField("raw", T.StringType()), T.StructField("frame_w", T.IntegerType()), T.StructField("frame_h", T.IntegerType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from regionlab.functions.distance import edit_distance
 from regionlab.functions.normalize import bind, normalize_text
 from regionlab.operators.matching import greedy_match
 
@@ -113,8 +114,8 @@ def per_page(solution: DataFrame, submission: DataFrame, image: str = "image", t
     scored = F.filter(ms, lambda x: is_scorable(F.get(gt, x["gi"])))
     dropped = F.transform(F.filter(ms, lambda x: ~is_scorable(F.get(gt, x["gi"]))), lambda x: x["pi"])
     norm_own = lambda r: normalize_text(r["text"], r["type"])
-    m = m.withColumn("__cers", F.transform(scored, region_cer)).withColumn("__gt_page", page_text(gt, norm_own))
-    m = m.withColumn("__pred_page", page_text(F.filter(pr, lambda r, i: ~F.array_contains(dropped, i.cast("int"))), norm_own))
+    left = F.filter(pr, lambda r, i: ~F.array_contains(dropped, i.cast("int")))
+    m = m.withColumns({"__cers": F.transform(scored, region_cer), "__gt_page": page_text(gt, norm_own), "__pred_page": page_text(left, norm_own)})
     n = F.size(ms)
     length = F.length("__gt_page")
     return m.select(
@@ -122,7 +123,7 @@ def per_page(solution: DataFrame, submission: DataFrame, image: str = "image", t
         n.alias("tp"), (F.size(pr) - n).alias("fp"), (F.size(gt) - n).alias("fn"),
         F.size(F.filter(ms, lambda x: F.get(gt, x["gi"])["type"] == F.get(pr, x["pi"])["type"])).alias("class_correct"),
         F.size("__cers").alias("cer_n"), F.aggregate("__cers", F.lit(0.0), lambda a, x: a + x).alias("cer_sum"),
-        F.when(length > 0, distance(F.col("__pred_page"), F.col("__gt_page")) / length).alias("page_cer"),
+        F.when(length > 0, edit_distance(F.col("__pred_page"), F.col("__gt_page")) / length).alias("page_cer"),
     )
 
 

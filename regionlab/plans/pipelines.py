@@ -18,7 +18,7 @@ def evaluate(solution: DataFrame, submission: DataFrame, order: str = "row_no",
     parsed = submission.select("image", order, records.parsed_submission(F.col("image"), F.col("regions")).alias("p"))
     if strict:
         scoring.require_complete(solution, submission)
-        scoring.require_valid(parsed.select("image", "p.*"))
+        scoring.require_valid(parsed.select("image", "p.reason", "p.error_field", "p.error_message"))
     typed = parsed.select("image", order, F.when(F.col("p.reason").isNull(), F.col("p.regions")).alias("regions"))
     return scoring.report(scoring.per_page(solution, scoring.last_per_image(typed, order=order)))
 

@@ -82,3 +82,14 @@ def test_last_row_wins(spark):
 def test_column_check(spark):
     with pytest.raises(scoring.InvalidSubmission):
         scoring.require_columns(spark.range(1), "regions")
+
+
+def test_edit_distance(spark):
+    import random
+
+    from regionlab.functions.distance import edit_distance
+
+    rnd = random.Random(5)
+    texts = ["".join(rnd.choice("абв я\n") for _ in range(rnd.randrange(40))) for _ in range(200)] + ["", ""]
+    df = spark.createDataFrame([*zip(texts, reversed(texts), strict=True), (None, "a")], "a string, b string")
+    assert df.where(~edit_distance(F.col("a"), F.col("b")).eqNullSafe(F.levenshtein("a", "b"))).count() == 0
