@@ -54,3 +54,49 @@ def _edits(a: pd.Series, b: pd.Series) -> pd.Series:
 def edit_distance(a: Column, b: Column) -> Column:
     """``edits`` of two text columns; null if either is null."""
     return _edits(a, b)
+
+
+def best_place(pattern: str, text: str) -> tuple[int, int, int]:
+    """(start, end, edits) of the part of ``text`` that is nearest to ``pattern``; of equal ones the first end, then the longest part.
+
+    The same columns as in ``edits``, but a match may begin anywhere: ends first, then the start by the reversed texts.
+    """
+    if not pattern:
+        return 0, 0, 0
+
+    def ends(p: str, t: str, free: bool) -> list[int]:
+        places: dict[str, int] = {}
+        for k, c in enumerate(p):
+            places[c] = places.get(c, 0) | (1 << k)
+        full, last = (1 << len(p)) - 1, 1 << (len(p) - 1)
+        up, down, score, out = full, 0, len(p), [len(p)]
+        for c in t:
+            eq = places.get(c, 0)
+            diagonal = (((eq & up) + up) ^ up) | eq | down
+            more, less = down | (full & ~(diagonal | up)), up & diagonal
+            score += bool(more & last) - bool(less & last)
+            out.append(score)
+            more, less = ((more << 1) | (0 if free else 1)) & full, (less << 1) & full
+            up, down = less | (full & ~(diagonal | more)), more & diagonal
+        return out
+
+    forward = ends(pattern, text, True)
+    best = min(forward)
+    end = forward.index(best)
+    back = ends(pattern[::-1], text[:end][::-1], False)
+    start = end - max(k for k, v in enumerate(back) if v == best)
+    return start, end, best
+
+
+PLACE = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("edits", T.IntegerType())])
+
+
+@F.pandas_udf(PLACE)
+def _best_place(pattern: pd.Series, text: pd.Series) -> pd.DataFrame:
+    rows = [(None, None, None) if p is None or t is None else best_place(p, t) for p, t in zip(pattern, text, strict=True)]
+    return pd.DataFrame(rows, columns=["start", "end", "edits"]).astype("Int32")
+
+
+def aligned_part(pattern: Column, text: Column) -> Column:
+    """struct(start, end, edits): where a line lies in the text that was dictated."""
+    return _best_place(pattern, text)

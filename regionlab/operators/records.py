@@ -145,7 +145,7 @@ def _is_number(x: object) -> bool:
     return isinstance(x, (int, float)) and not isinstance(x, bool)
 
 
-def _region(value: object, at: int) -> dict:
+def _region(value: object, at: int, types: tuple[str, ...] | None = REGION_TYPES) -> dict:
     """The typed region of a JSON object; absent and null members stay null, members of other types than string keep their JSON."""
     if not isinstance(value, dict):
         raise Unfit("invalid_value", "regions", at, "an element is not an object")
@@ -155,10 +155,10 @@ def _region(value: object, at: int) -> dict:
     if not isinstance(box, list) or len(box) != 4 or not all(map(_is_number, box)):
         raise Unfit("invalid_value", "regions", at, "bbox is not a list of four numbers")
     kind = value.get("type")
-    if "type" in value and not (isinstance(kind, str) and kind in REGION_TYPES):
+    if types is not None and "type" in value and not (isinstance(kind, str) and kind in types):
         raise Unfit("invalid_value", "regions", at, f"type is not a known one: {str(kind)[:40]}")
     text = {k: v if v is None or isinstance(v, str) else json.dumps(v, ensure_ascii=False) for k in ("language", "legibility", "text") for v in [value.get(k)]}
-    return {"bbox": [_double(x) for x in box], "type": kind} | text
+    return {"bbox": [_double(x) for x in box], "type": kind if kind is None or isinstance(kind, str) else json.dumps(kind)} | text
 
 
 def _double(x: int | float) -> float:
@@ -168,10 +168,11 @@ def _double(x: int | float) -> float:
         return float("inf") if x > 0 else float("-inf")
 
 
-def parse_regions(text: str | None) -> tuple[list[dict], list[tuple[str, str, int, str]]]:
+def parse_regions(text: str | None, types: tuple[str, ...] | None = REGION_TYPES) -> tuple[list[dict], list[tuple[str, str, int, str]]]:
     """(regions, errors) of a ``regions`` value. Null and the empty string are fit and hold no region.
 
-    With errors, the regions are those that could still be read: the list is resumed behind each bad element.
+    With errors, the regions are those that could still be read: the list is resumed behind each bad element. ``types``: those that may
+    be named; None for solutions, whose types are not checked.
     """
     if not text:
         return [], []
@@ -189,7 +190,7 @@ def parse_regions(text: str | None) -> tuple[list[dict], list[tuple[str, str, in
         try:
             value, end = _value(text, at)
             try:
-                good.append(_region(value, at))
+                good.append(_region(value, at, types))
             except Unfit as e:
                 bad.append(e.issue)
             end = _WS.match(text, end).end()
@@ -266,6 +267,11 @@ def parsed_line(line: Column, typed: bool = True) -> Column:
     return _udf(parse_line, typed)(line)
 
 
+def parsed_solution(image: Column, regions: Column, typed: bool = True) -> Column:
+    """The same for a solution: any type of region and any image name will do."""
+    return _udf(lambda i, r: (i, *parse_regions(r, None)), typed)(image, regions)
+
+
 def parsed_submission(image: Column, regions: Column, typed: bool = True) -> Column:
     """The same for a record whose two fields are already apart."""
     return _udf(lambda i, r: (i, *parse_submission(i, r)), typed)(image, regions)
