@@ -85,14 +85,26 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+def shared_folder(spark: SparkSession, kind: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/regionlab-{kind}-{uuid.uuid4().hex}"
+
+
+def until_exit(spark: SparkSession, path: str) -> None:
+    """An existing folder of the shared folder goes when the driver's JVM ends."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
 def written(df: DataFrame, *partition_by: str) -> DataFrame:
     """Writes ``df`` as Parquet into the shared folder and reads it back (column pruning stays possible, unlike checkpoint)."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/regionlab-{uuid.uuid4().hex}"
+    path = shared_folder(spark, "table")
     w = df.write
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
+    until_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
