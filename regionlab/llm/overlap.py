@@ -38,6 +38,7 @@ from regionlab.session import shared_dir, written
 MIN_COMMON = 0.75
 MIN_COVER = 0.15
 SHARD_WORDS = 1_500_000
+AT_ONCE = 300_000  # words of training texts searched together
 EXPAND = 1_000_000  # hits expanded at a time, or those of one query
 
 
@@ -173,6 +174,12 @@ class Index:
         return self.text[self.starts[i] : end].tolist()
 
     def close_to(self, keys: list[str], queries: list[list[str]], min_common: float, min_cover: float) -> Iterator[tuple[str, str]]:
+        held = np.cumsum([len(q) for q in queries]) // AT_ONCE
+        cuts = np.flatnonzero(np.r_[True, held[1:] != held[:-1], True]) if len(queries) else []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            yield from self._close_to(keys[a:b], queries[a:b], min_common, min_cover)
+
+    def _close_to(self, keys, queries, min_common, min_cover) -> Iterator[tuple[str, str]]:
         get = self.vocabulary.get
         coded: dict[int, list[int]] = {}
         size = np.diff(np.r_[self.starts, len(self.text)]) - 1

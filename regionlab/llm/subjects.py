@@ -34,6 +34,7 @@ MIN_DOCS = 3  # words of fewer documents are slips of the pen
 SWEEPS = 3  # updates of H, each a pass over all documents
 INNER = 6  # updates of W within a pass
 MIN_SHARE = 0.18  # "about a fifth"
+AT_ONCE = 250_000  # words solved together; batches of long documents are taken in pieces
 TRACE = 0.05  # weight of a sentence's subject below which it has none
 
 _SENTENCE = re.compile(r"[.!?…]+\s+|\n+")
@@ -63,6 +64,14 @@ def term_matrix(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     return written(made)
 
 
+def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of the batches in pieces of about ``AT_ONCE`` words, whole documents each."""
+    for pdf in batches:
+        held = np.cumsum([len(b) for b in pdf["bins"]]) // AT_ONCE if len(pdf) else np.empty(0, np.int64)
+        for _, piece in pdf.groupby(held, sort=True):
+            yield piece.reset_index(drop=True)
+
+
 def _coo(bins: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, column, count) of a batch of rows, sorted by row."""
     if not len(bins):
@@ -105,7 +114,7 @@ class Model:
 def _column_sums(batches: Iterator[pd.DataFrame], width: int, of) -> Iterator[pd.DataFrame]:
     """Sums of ``of(batch) -> (columns, values: width x columns)`` over a partition, emitted once per partition."""
     total = np.zeros((width, BINS), np.float32)
-    for pdf in batches:
+    for pdf in _pieces(batches):
         col, values = of(pdf)
         for k in range(width):
             total[k] += np.bincount(col, weights=values[k], minlength=BINS)
@@ -194,7 +203,7 @@ def mixtures(matrix: DataFrame, id_col: str, model: Model, trace: float = TRACE)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = sent.value
-        for pdf in batches:
+        for pdf in _pieces(batches):
             bins = [b for b in pdf["bins"]]
             lens = [n for n in pdf["lens"]]
             doc_of = np.repeat(np.arange(len(pdf)), [len(n) for n in lens])
