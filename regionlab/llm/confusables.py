@@ -175,12 +175,13 @@ def lookalike(text: Column) -> Column:
     return _lookalike(text)
 
 
-def skeleton_groups(df: DataFrame, text: str = "text") -> DataFrame:
-    """(``skeleton_md5``, ``rows``, ``variants``, ``canonical_text``): the texts of equal skeleton.
+def skeleton_groups(df: DataFrame, id_col: str, text: str = "text") -> DataFrame:
+    """(``skeleton_md5``, ``rows``, ``variants``, ``first_id``): the texts of equal skeleton, with how many rows and different texts.
 
-    Equal texts are counted before the skeletons are made, so a text that is a third of all rows is a third of nothing; groups meet
-    by the 16-byte hash of the skeleton, never as lists. Null texts belong to no group, the empty text to its own.
+    Only hashes and ids are shuffled, never texts, and equal texts are counted before they are: a text that is a third of all rows is a
+    handful of rows by then. ``first_id`` names a row of the group to read its text from (null if no row of it has an id). Null texts
+    belong to no group, the empty text to its own.
     """
-    distinct = df.where(F.col(text).isNotNull()).groupBy(F.col(text).alias("t")).agg(F.count("*").alias("n"))
-    f = distinct.select("n", forms(F.col("t")).alias("f")).select("n", F.md5("f.skeleton").alias("skeleton_md5"), F.col("f.canonical").alias("c"))
-    return f.groupBy("skeleton_md5").agg(F.sum("n").alias("rows"), F.count("*").alias("variants"), F.min("c").alias("canonical_text"))
+    made = df.where(F.col(text).isNotNull()).select(F.col(id_col).alias("__id"), F.md5(F.col(text).cast("binary")).alias("__t"), F.md5(forms(F.col(text))["skeleton"].cast("binary")).alias("skeleton_md5"))
+    texts = made.groupBy("skeleton_md5", "__t").agg(F.count("*").alias("__n"), F.min("__id").alias("__id"))
+    return texts.groupBy("skeleton_md5").agg(F.sum("__n").alias("rows"), F.count("*").alias("variants"), F.min("__id").alias("first_id"))

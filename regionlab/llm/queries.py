@@ -36,7 +36,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_groups(spark: SparkSession, d: str) -> DataFrame:
     """Page texts grouped by skeleton."""
-    return confusables.skeleton_groups(_pages(spark, d, "text"))
+    return confusables.skeleton_groups(_pages(spark, d, "row_id", "text"), "row_id")
 
 
 def p1_canonical(spark: SparkSession, d: str) -> DataFrame:

@@ -47,7 +47,7 @@ def test_words():
 def test_groups(spark):
     rows = [("сон", 1), ("cон", 2), ("сoн", 3), ("сон", 4), ("інше", 5), (None, 6), ("", 7), ("x" * 200_000, 8)]
     df = spark.createDataFrame(rows, "text string, n int")
-    got = {(r["canonical_text"], r["rows"], r["variants"]) for r in c.skeleton_groups(df).collect()}
-    assert got == {("сон", 4, 3), ("інше", 1, 1), ("", 1, 1), ("x" * 200_000, 1, 1)}
-    assert c.skeleton_groups(df.limit(0)).count() == 0
+    got = {(r["first_id"], r["rows"], r["variants"]) for r in c.skeleton_groups(df, "n").collect()}
+    assert got == {(1, 4, 3), (5, 1, 1), (7, 1, 1), (8, 1, 1)}
+    assert c.skeleton_groups(df.limit(0), "n").count() == 0
     assert df.where(c.lookalike(F.col("text"))).count() == 2
