@@ -259,7 +259,8 @@ def _udf(parse, typed: bool):
             df[c] = df[c].astype("Int32")
         return df
 
-    return parsed
+    # a deterministic function would be called again for every filter on its result that moves below the projection
+    return parsed.asNondeterministic()
 
 
 def parsed_line(line: Column, typed: bool = True) -> Column:
