@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from regionlab.session import kept, written
 
-BUCKETS = 64  # parts of the items of one size that are numbered apart
+BUCKETS = 512  # parts of the items of one size that are numbered apart; a task sorts one part at a time
 
 
 @dataclass(frozen=True)
