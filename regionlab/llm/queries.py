@@ -34,15 +34,26 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return pages.unionByName(preds)
 
 
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    """(``src_table``, ``row_id``, ``region_idx``, ``text``): page texts (null index) and every region text of the fit predictions."""
+    pages = _pages(spark, d, "row_id", "text").select(F.lit("metadata").alias("src_table"), "row_id", F.lit(None).cast("int").alias("region_idx"), "text")
+    preds = spread(table(spark, d, "sample_submission").select("row_id", F.col("image").alias("im"), F.col("regions").alias("rg")))
+    fit = records.load(preds, records.parsed_submission(F.col("im"), F.col("rg")), "row_id")[0]
+    regions = fit.select("row_id", F.posexplode("regions").alias("region_idx", "r"))
+    return pages.unionByName(regions.select(F.lit("sample_submission").alias("src_table"), "row_id", "region_idx", F.col("r.text").alias("text")))
+
+
 def p1_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Page texts grouped by skeleton."""
-    return confusables.skeleton_groups(_pages(spark, d, "row_id", "text"), "row_id")
+    """Page texts and region texts of predictions grouped by skeleton; a group is named by its first text."""
+    texts = _texts(spark, d).select(F.struct("src_table", "row_id", "region_idx").alias("id"), "text")
+    g = confusables.skeleton_groups(texts, "id")
+    return g.select("skeleton_md5", "rows", "variants", F.col("first_id.src_table").alias("first_table"), F.col("first_id.row_id").alias("first_id"), F.col("first_id.region_idx").alias("first_region_idx"))
 
 
 def p1_canonical(spark: SparkSession, d: str) -> DataFrame:
-    """Every page text in its one consistent form."""
-    f = _pages(spark, d, "row_id", "text").select("row_id", confusables.forms(F.col("text")).alias("f"))
-    return f.select("row_id", F.col("f.canonical").alias("text"), F.md5("f.skeleton").alias("skeleton_md5"))
+    """Every page text and every region text of the fit predictions in its one consistent form."""
+    f = _texts(spark, d).select("src_table", "row_id", "region_idx", confusables.forms(F.col("text")).alias("f"))
+    return f.select("src_table", "row_id", "region_idx", F.col("f.canonical").alias("text"), F.md5("f.skeleton").alias("skeleton_md5"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

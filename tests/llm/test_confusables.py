@@ -51,3 +51,19 @@ def test_groups(spark):
     assert got == {(1, 4, 3), (5, 1, 1), (7, 1, 1), (8, 1, 1)}
     assert c.skeleton_groups(df.limit(0), "n").count() == 0
     assert df.where(c.lookalike(F.col("text"))).count() == 2
+
+
+def test_predictions_come_out_with_the_pages(spark, tmp_path):
+    """Region texts of fit predictions have their canonical form and meet the pages in the groups; unfit rows give none."""
+    from regionlab.llm import queries as q
+
+    im = "0a1b2c3d-0000-4000-8000-0123456789ab.jpg"
+    two = '[{"bbox": [1, 2, 3, 4], "text": "сoн"}, {"bbox": [1, 2, 3, 4]}, {"bbox": [1, 2, 3, 4], "text": "інше"}]'
+    preds = [(1, im, two), (2, im, '[{"bbox": [1], "text": "сон"}]'), (3, im, None), (4, im, "[]"), (5, "x.jpg", two), (6, im, '[{"bbox": [1, 2, 3, 4], "text": "ｗord"}]')]
+    spark.createDataFrame([(1, "сон"), (2, None)], "row_id long, text string").write.parquet(f"{tmp_path}/metadata.parquet")
+    spark.createDataFrame(preds, "row_id long, image string, regions string").write.parquet(f"{tmp_path}/sample_submission.parquet")
+    got = {(r["src_table"], r["row_id"], r["region_idx"]): r["text"] for r in q.p1_canonical(spark, str(tmp_path)).collect()}
+    sub = "sample_submission"
+    assert got == {("metadata", 1, None): "сон", ("metadata", 2, None): None, (sub, 1, 0): "сон", (sub, 1, 1): None, (sub, 1, 2): "інше", (sub, 6, 0): "word"}
+    groups = {(r["first_table"], r["first_id"], r["first_region_idx"], r["rows"], r["variants"]) for r in q.p1_groups(spark, str(tmp_path)).collect()}
+    assert groups == {("metadata", 1, None, 2, 2), (sub, 1, 2, 1, 1), (sub, 6, 0, 1, 1)}
