@@ -6,12 +6,12 @@ order (a longest common subsequence), as read by eye: words come from ``confusab
 1. Every page's words and keys are made once and written. Equal texts form one class; classes of both sides give the exact pairs.
 2. The evaluation classes are dealt to *shards* by length, each of at most ``SHARD_WORDS`` words. A shard becomes a full-text index
    over words (an FM-index: the Burrows-Wheeler transform of the shard as occurrence lists of every word, with the suffix array).
-3. Training classes are streamed through the shards of compatible length. Backward search finds, from every position, all places where
-   the next ``seed`` words occur; hits on one diagonal merge to maximal matches, matches of one pair of texts to the number of words they
-   cover. The interval found is exact, so no partner is cut off.
-4. Pairs whose matches cover at least ``MIN_COVER`` of the longer text are checked by the exact length of their common subsequence
-   (bit-parallel). Seeds are shorter for short texts; MIN_COVER is far below what a text with a quarter of its words changed at random
-   keeps, the recall against brute force is part of the tests.
+3. Training classes are streamed through the shards of compatible length. Backward search finds all places of every run of ``seed``
+   words, in which one word may be skipped, in the query or in the text. The interval found is exact, so no partner is cut off.
+4. Pairs that share at least ``least_common`` such runs are checked by the exact length of their common subsequence (bit-parallel).
+   No pair of the rule shares fewer. Let c words be common in order, k the seed. They hold c-k+1 runs of k neighbours. Each of the
+   n+m-2c other words is skipped by at most k-1 of them, so at most (k-1)(n+m-2c)/2 runs skip two words or more. The rest share a
+   run, each from its own place. From ``seed_length`` this is at least one for all lengths from ``MIN_COMMON`` on.
 5. Pairs of classes become pairs of rows by joining the memberships; what only the image ties is added.
 
 The index lies in files in the shared folder, one per shard; a task reads those it needs one after another, so neither the driver nor
@@ -36,15 +36,20 @@ from regionlab.llm.confusables import skeleton, words
 from regionlab.session import shared_dir, written
 
 MIN_COMMON = 0.75
-MIN_COVER = 0.15
 SHARD_WORDS = 1_500_000
 AT_ONCE = 300_000  # words of training texts searched together
 EXPAND = 1_000_000  # hits expanded at a time, or those of one query
 
 
 def seed_length(n: int) -> int:
-    """Words that a match must have at least to be looked at, by the length of the evaluation text."""
-    return 2 if n < 9 else 3 if n <= 40 else 4
+    """Words of a run that is looked up, by the length of the evaluation text: the most with which ``least_common`` stays positive."""
+    return 2 if n < 9 else 3
+
+
+def least_common(n, m, seed: int, min_common: float = MIN_COMMON):
+    """(words, runs) that texts of ``n`` and ``m`` words have in common at least if they are almost the same (arrays or numbers)."""
+    c = np.ceil(min_common * np.maximum(n, m) - 1e-9).astype(np.int64)
+    return c, c - (seed - 1) - (seed - 1) * (n + m - 2 * c) // 2
 
 
 def common_words(a: np.ndarray | list, b: np.ndarray | list) -> int:
@@ -73,6 +78,7 @@ class Index:
     first: np.ndarray  # C: suffixes that begin with a smaller symbol
     occurrences: np.ndarray  # for each symbol in turn, the ranks whose preceding symbol it is
     since: np.ndarray  # where a symbol's occurrences begin
+    skips: list[np.ndarray]  # positions in the order of the ``seed`` words from there of which one is skipped, by which one
 
     @classmethod
     def build(cls, keys: list[str], texts: list[str], seed: int) -> Index:
@@ -93,7 +99,28 @@ class Index:
         counts = np.bincount(text, minlength=symbols)
         first = np.r_[0, np.cumsum(counts)].astype(np.int64)
         since = np.r_[0, np.cumsum(np.bincount(before, minlength=symbols))].astype(np.int64)
-        return cls(seed, keys, vocabulary, starts, text, suffixes, first, occurrences, since)
+        x = cls(seed, keys, vocabulary, starts, text, suffixes, first, occurrences, since, [])
+        for at, key in x._skipping(np.arange(n - seed)):
+            x.skips.append(at[np.argsort(key, kind="stable")].astype(np.int32))
+        return x
+
+    def _skipping(self, *at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(positions, keys) of the runs that skip a word: positions ``at`` (for both ways, or for each) with all words in one text."""
+        if self.seed not in (2, 3):
+            return
+        symbols, t = len(self.first) - 1, self.text.astype(np.int64)
+        if self.seed == 3:
+            # where the interval of the two words from each position begins
+            sorted_ = t[self.suffixes] * symbols + np.r_[t, 0][self.suffixes + 1]
+            begin = np.arange(len(t))
+            begin[1:][sorted_[1:] == sorted_[:-1]] = 0
+            low = np.empty(len(t), np.int64)
+            low[self.suffixes] = np.maximum.accumulate(begin)
+        for way in range(self.seed - 1):
+            a = at[way % len(at)].astype(np.int64)
+            a = a[np.all([t[a + k] > 0 for k in range(self.seed + 1)], axis=0)]
+            pair, other = (a, a + 2) if self.seed == 2 else (a, a + 3) if way == 0 else (a + 2, a)
+            yield a, (t[pair] if self.seed == 2 else low[pair]) * symbols + t[other]
 
     def dump(self) -> bytes:
         return zlib.compress(pickle.dumps(self, protocol=5), 1)
@@ -104,6 +131,9 @@ class Index:
         n = len(x.text)
         symbol = np.repeat(np.arange(len(x.since) - 1, dtype=np.int64), np.diff(x.since))
         x.ordered = symbol * (n + 1) + x.occurrences
+        x.skip_keys = [key for _, key in x._skipping(*x.skips)]
+        # the text of every rank: suffixes, then the positions of each way to skip
+        x.owner = (np.searchsorted(x.starts, np.concatenate([x.suffixes, *x.skips]), side="right") - 1).astype(np.int32)
         return x
 
     def before(self, symbol: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -169,29 +199,115 @@ class Index:
         cover = np.add.reduceat(step, starts)
         yield from zip(query[starts].tolist(), text[starts].tolist(), cover.tolist(), strict=True)
 
+    def _runs(self, symbols: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(position, low, high) of the runs of ``seed`` words from each position that occur, a word skipped on one side at most; a kind of run at a time.
+
+        ``low`` and ``high`` are ranks in ``owner``.
+        """
+        n, width = len(symbols), len(self.first) - 1
+        s = np.r_[symbols, np.full(4, -1)]
+        ends = np.r_[ends, np.full(4, -1)]
+
+        def pairs(gap: int) -> tuple[np.ndarray, np.ndarray]:
+            low, high = np.zeros(n + 4, np.int64), np.zeros(n + 4, np.int64)
+            at = np.arange(n)
+            at = at[(at + gap < ends[:n]) & (s[:n] > 0) & (s[at + gap] > 0)]
+            x, y = s[at], s[at + gap]
+            low[at], high[at] = self.first[x] + self.before(x, self.first[y]), self.first[x] + self.before(x, self.first[y + 1])
+            return low, high
+
+        def held(low: np.ndarray, high: np.ndarray, *at: np.ndarray):
+            ok = low < high
+            return *(a[ok] for a in at), low[ok], high[ok]
+
+        def skipped(way: int, at: np.ndarray, key: np.ndarray):
+            base = len(self.text) + sum(map(len, self.skips[:way]))
+            keys = self.skip_keys[way]
+            return held(base + np.searchsorted(keys, key), base + np.searchsorted(keys, key, side="right"), at)
+
+        near, wide = pairs(1), pairs(2)
+        if self.seed == 2:
+            for low, high in (near, wide):
+                yield held(low[:n], high[:n], np.arange(n))
+            at = np.flatnonzero((s[:n] > 0) & (s[1 : n + 1] > 0) & (np.arange(n) + 1 < ends[:n]))
+            yield skipped(0, at, s[at] * width + s[at + 1])
+            return
+        for tail, step in ((near, 1), (wide, 1), (near, 2)):
+            # the pair behind the first word lies in one query; so must the first word
+            at, low, high = held(tail[0][step : n + step], tail[1][step : n + step], np.arange(n))
+            ok = (s[at] > 0) & (at + step < ends[at])
+            at, low, high = at[ok], low[ok], high[ok]
+            x = s[at]
+            yield held(self.first[x] + self.before(x, low), self.first[x] + self.before(x, high), at)
+        at = np.arange(n)
+        at = at[(at + 2 < ends[:n]) & (s[:n] > 0) & (s[at + 2] > 0)]
+        first = at[near[0][at] < near[1][at]]
+        yield skipped(0, first, near[0][first] * width + s[first + 2])
+        last = at[near[0][at + 1] < near[1][at + 1]]
+        yield skipped(1, last, near[0][last + 1] * width + s[last])
+
+    def sharing(self, queries: list[list[str]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(query, text, runs) of all pairs that share a run: never fewer runs than a query has places from which the text shares one."""
+        get = self.vocabulary.get
+        lens = np.array([len(q) for q in queries], np.int64)
+        symbols = np.array([get(w, -1) for q in queries for w in q], np.int64)
+        of = np.repeat(np.arange(len(queries)), lens)
+        found = []
+        for at, low, high in self._runs(symbols, np.repeat(np.cumsum(lens), lens)):
+            # equal runs of one query are looked up once
+            _, once, times = np.unique(of[at] * (len(self.owner) + 1) + low, return_index=True, return_counts=True)
+            found.append((of[at[once]], low[once], (high - low)[once], times))
+        query, low, hits, times = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(query, kind="stable")
+        query, low, hits, times = query[order], low[order], hits[order], times[order]
+        # whole queries at a time, so that all hits of a pair are counted together
+        bounds = np.flatnonzero(np.r_[True, query[1:] != query[:-1]]) if len(query) else np.empty(0, np.int64)
+        ends_of = np.r_[bounds[1:], len(query)]
+        done = np.r_[0, np.cumsum(hits)]
+        begin = 0
+        while begin < len(bounds):
+            a = bounds[begin]
+            stop = max(begin + 1, int(np.searchsorted(done[ends_of], done[a] + EXPAND, side="right")))
+            b = ends_of[stop - 1]
+            h = hits[a:b]
+            run = np.repeat(np.arange(b - a), h)
+            text = self.owner[np.arange(len(run)) + (low[a:b] - (done[a:b] - done[a]))[run]]
+            # the places of a run in one text lie side by side
+            new = np.r_[True, (run[1:] != run[:-1]) | (text[1:] != text[:-1])]
+            run, text = run[new], text[new]
+            pair = query[a:b][run] * len(self.starts) + text
+            order = np.argsort(pair)
+            pair = pair[order]
+            starts = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
+            yield pair[starts] // len(self.starts), pair[starts] % len(self.starts), np.add.reduceat(times[a:b][run][order], starts)
+            begin = stop
+
     def text_of(self, i: int) -> list[int]:
         end = self.starts[i + 1] - 1 if i + 1 < len(self.starts) else len(self.text) - 1
         return self.text[self.starts[i] : end].tolist()
 
-    def close_to(self, keys: list[str], queries: list[list[str]], min_common: float, min_cover: float) -> Iterator[tuple[str, str]]:
+    def close_to(self, keys: list[str], queries: list[list[str]], min_common: float) -> Iterator[tuple[str, str]]:
         held = np.cumsum([len(q) for q in queries]) // AT_ONCE
         cuts = np.flatnonzero(np.r_[True, held[1:] != held[:-1], True]) if len(queries) else []
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            yield from self._close_to(keys[a:b], queries[a:b], min_common, min_cover)
+            yield from self._close_to(keys[a:b], queries[a:b], min_common)
 
-    def _close_to(self, keys, queries, min_common, min_cover) -> Iterator[tuple[str, str]]:
+    def _close_to(self, keys, queries, min_common) -> Iterator[tuple[str, str]]:
         get = self.vocabulary.get
         coded: dict[int, list[int]] = {}
         size = np.diff(np.r_[self.starts, len(self.text)]) - 1
-        for q, t, cover in self.partners(queries):
-            n, m = len(queries[q]), int(size[t])
-            longer = max(n, m)
-            if min(n, m) < min_common * longer - 1e-9 or cover < min_cover * longer or keys[q] == self.keys[t]:
-                continue
-            if q not in coded:
-                coded[q] = [get(w, -1) for w in queries[q]]
-            if common_words(coded[q], self.text_of(t)) >= min_common * longer - 1e-9:
-                yield keys[q], self.keys[t]
+        lens = np.array([len(q) for q in queries], np.int64)
+        for query, text, runs in self.sharing(queries):
+            n, m = lens[query], size[text]
+            words_, least = least_common(n, m, self.seed, min_common)
+            ok = (np.minimum(n, m) >= words_) & (runs >= least)
+            for q, t, c in zip(query[ok].tolist(), text[ok].tolist(), words_[ok].tolist(), strict=True):
+                if keys[q] == self.keys[t]:
+                    continue
+                if q not in coded:
+                    coded[q] = [get(w, -1) for w in queries[q]]
+                if common_words(coded[q], self.text_of(t)) >= c:
+                    yield keys[q], self.keys[t]
 
 
 @dataclass(frozen=True)
@@ -252,8 +368,13 @@ def pages(df: DataFrame, row_id: str, side: str, file_name: str, text: str) -> D
     return written(df.select(F.col(row_id).alias("row_id"), F.col(side).alias("side"), image.alias("image_key"), F.col(text).alias("t")).mapInPandas(run, PAGES))
 
 
-def close_texts(p: DataFrame, shard_words: int = SHARD_WORDS, min_common: float = MIN_COMMON, min_cover: float = MIN_COVER) -> DataFrame:
-    """(``train_key``, ``eval_key``): different text classes of training and evaluation that are almost the same."""
+def close_texts(p: DataFrame, shard_words: int = SHARD_WORDS, min_common: float = MIN_COMMON) -> DataFrame:
+    """(``train_key``, ``eval_key``): different text classes of training and evaluation that are almost the same.
+
+    ``min_common``: at least ``MIN_COMMON``, below which pairs need share no run.
+    """
+    if min_common < MIN_COMMON:
+        raise ValueError(f"min_common is below {MIN_COMMON}")
     spark = p.sparkSession
     schema = "train_key string, eval_key string"
     classes = p.where("n >= 3").groupBy("side", "text_key").agg(F.max("words").alias("words"), F.max("n").alias("n"))
@@ -288,7 +409,7 @@ def close_texts(p: DataFrame, shard_words: int = SHARD_WORDS, min_common: float
                     continue
                 if kept is None or kept[0] != no:
                     kept = (no, Index.load(_read(folder, no)))
-                pairs = list(kept[1].close_to([keys[i] for i in ok], [texts[i] for i in ok], min_common, min_cover))
+                pairs = list(kept[1].close_to([keys[i] for i in ok], [texts[i] for i in ok], min_common))
                 if pairs:
                     yield pd.DataFrame(pairs, columns=["train_key", "eval_key"])
 

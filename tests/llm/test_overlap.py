@@ -94,3 +94,80 @@ def test_shards():
     assert [(x.shortest, x.longest, x.seed, x.parts) for x in s] == [(5, 8, 2, 1), (9, 9, 3, 1), (30, 30, 3, 62), (31, 31, 3, 1)]
     assert [x.no for x in s] == [0, 1, 2, 64]
     assert o.plan_shards({}) == []
+
+
+def test_least_common_runs():
+    """Whatever the lengths, texts that are almost the same share a run by the bound."""
+    for n in range(3, 300):
+        for m in range(3, 400):
+            words, runs = o.least_common(n, m, o.seed_length(n))
+            assert min(n, m) < words or runs >= 1, (n, m)
+
+
+def test_shared_runs():
+    """Never fewer than the places of a query from which a run, a word skipped on one side at most, lies in the text; none made up."""
+    rnd = random.Random(4)
+
+    def runs(w, seed):
+        """(words, words skipped) by position."""
+        offsets = [tuple(k for k in range(seed + gap) if k != skip) for gap in (0, 1) for skip in range(1, seed + gap - 1)] if seed == 3 else [(0, 1), (0, 2)]
+        offsets = {*(x for x in offsets if len(x) == seed), tuple(range(seed))}
+        return {(i, tuple(w[i + k] for k in x), x[-1] - seed + 1) for x in offsets for i in range(len(w) - x[-1])}
+
+    for seed in (2, 3):
+        texts = [[rnd.choice("abcdefgh") for _ in range(rnd.randrange(1, 20))] for _ in range(40)]
+        index = o.Index.load(o.Index.build([str(i) for i in range(40)], [" ".join(t) for t in texts], seed).dump())
+        queries = [[rnd.choice("abcdefghi") for _ in range(rnd.randrange(1, 20))] for _ in range(40)]
+        got = {(q, t): c for x in index.sharing(queries) for q, t, c in zip(*(a.tolist() for a in x), strict=True)}
+        for q, words in enumerate(queries):
+            for t, text in enumerate(texts):
+                held = {(g, k) for _, g, k in runs(text, seed)}
+                at = {i for i, g, k in runs(words, seed) if any((g, j) in held for j in range(2 - k))}
+                assert got.get((q, t), 0) >= len(at)
+                assert ((q, t) in got) == bool(at)
+
+
+def every_fourth(w, rnd):
+    return [f"x{rnd.randrange(10**6)}" if k % 4 == 3 else x for k, x in enumerate(w)]
+
+
+def swapped(w, rnd):
+    w = list(w)
+    for k in range(0, len(w) - 1, 4):
+        w[k], w[k + 1] = w[k + 1], w[k]
+    return w
+
+
+def inserted(w, rnd):
+    return [y for k, x in enumerate(w) for y in ((x, f"x{rnd.randrange(10**6)}") if k % 3 == 1 else (x,))]
+
+
+def moved(w, rnd):
+    w = list(w)
+    for _ in range(len(w) // 4):
+        w.insert(rnd.randrange(len(w)), w.pop(rnd.randrange(len(w))))
+    return w
+
+
+def both(w, rnd):
+    """Words left out of each side, at different places."""
+    return [y for k, x in enumerate(w) for y in ((f"x{rnd.randrange(10**6)}", x) if k % 4 == 1 else () if k % 4 == 3 else (x,))]
+
+
+def test_no_pair_is_filtered(spark):
+    """Swaps, insertions, moves and every fourth word changed, long and short: every pair of the rule is found."""
+    rnd = random.Random(5)
+    lengths = (4, 5, 7, 8, 9, 12, 16, 24, 40, 41, 45, 60, 120)
+    train = [[f"w{rnd.randrange(2000)}" for _ in range(n)] for n in lengths for _ in range(6)]
+    held = [f(w, rnd) for w in train for f in (every_fourth, swapped, inserted, moved, both)]
+    rows = [(i, "train" if i < len(train) else "eval", None, f"k{i}", " ".join(w), len(w)) for i, w in enumerate(train + held)]
+    want = set()
+    for i, a in enumerate(train):
+        for j, b in enumerate(held):
+            if min(len(a), len(b)) >= 0.75 * max(len(a), len(b)) and plain_lcs(a, b) >= 0.75 * max(len(a), len(b)):
+                want.add((f"k{i}", f"k{len(train) + j}"))
+    assert len(want) > 250
+    for shard_words in (1500, 1_500_000):
+        got = [(r[0], r[1]) for r in o.close_texts(spark.createDataFrame(rows, o.PAGES), shard_words=shard_words).collect()]
+        assert len(got) == len(set(got))
+        assert set(got) == want
