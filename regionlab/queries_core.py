@@ -41,9 +41,15 @@ def p2_loaded(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_errors(spark: SparkSession, d: str) -> DataFrame:
-    """Every located error of the unfit rows, those behind the first one included."""
+    """Every located error of the unfit rows of both tables, those behind the first one included."""
     raw = records.load(_raw(spark, d), records.parsed_line(F.col("line")), "line_id")[1]
-    return raw.select("line_id", F.posexplode("errors").alias("error_no", "e")).select("line_id", "error_no", "e.reason", "e.field", F.col("e.at").alias("error_at"), "e.message")
+    sub = records.load(_submission(spark, d), records.parsed_submission(F.col("image"), F.col("regions")), "row_id")[1]
+    both = raw.select(F.lit("submission_raw").alias("src_table"), F.col("line_id").alias("rec_id"), "errors").unionByName(
+        sub.select(F.lit("sample_submission").alias("src_table"), F.col("row_id").alias("rec_id"), "errors")
+    )
+    return both.select("src_table", "rec_id", F.posexplode("errors").alias("error_no", "e")).select(
+        "src_table", "rec_id", "error_no", "e.reason", "e.field", F.col("e.at").alias("error_at"), "e.message"
+    )
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

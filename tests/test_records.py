@@ -118,3 +118,16 @@ def test_load_files(spark):
     df = spark.createDataFrame([("a", f'image,regions\n{ID},"[{BOX}\n{csv(ID, f"[{BOX}]")}'), ("b", ""), ("c", None)], "path string, text string")
     got = [(r["path"], r["reason"], r["regions"] and len(r["regions"])) for r in records.load_files(df).orderBy("path", "start").collect()]
     assert got == [("a", "quoting", None), ("a", None, 1)]
+
+
+def test_errors_of_both_tables(spark, tmp_path):
+    """p2_errors locates the errors of unfit predictions too, every one of a row."""
+    from regionlab.queries_core import p2_errors
+
+    preds = [(1, "r", ID, '[{"bbox": [1]}, {"bbox": [1, 2, 3, 4], "type": "x"}]'), (2, "r", "X.jpg", "{"), (3, "r", ID, f"[{BOX}]"), (4, "r", ID, None)]
+    spark.createDataFrame([(1, "r", 1, f"{ID},"), (2, "r", 2, f"{ID}")], "line_id long, run_id string, line_no int, line string").write.parquet(f"{tmp_path}/submission_raw.parquet")
+    spark.createDataFrame(preds, "row_id long, run_id string, image string, regions string").write.parquet(f"{tmp_path}/sample_submission.parquet")
+    got = {(r["src_table"], r["rec_id"], r["error_no"]): (r["reason"], r["field"]) for r in p2_errors(spark, str(tmp_path)).collect()}
+    bad = ("invalid_value", "regions")
+    sub = "sample_submission"
+    assert got == {("submission_raw", 2, 0): ("column_count", "record"), (sub, 1, 0): bad, (sub, 1, 1): bad, (sub, 2, 0): ("invalid_value", "image"), (sub, 2, 1): bad}
