@@ -60,7 +60,7 @@ _MATCHES = f"""(SELECT row_id, list_reduce(list_transform(list_sort(list({{'c':
   lambda a, x: CASE WHEN len(list_filter(a, lambda k: k.gi = x[1].gi OR k.pi = x[1].pi)) > 0 THEN a ELSE list_concat(a, x) END) AS m
 FROM {_PAIRS} WHERE iou >= 0.5 GROUP BY row_id)"""
 
-_SPACE = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_SPACE = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _STRIP = f"regexp_replace({{0}}, '^[{_SPACE}]+|[{_SPACE}]+$', '', 'g')"
 
 
