@@ -13,12 +13,16 @@ from regionlab.session import spread, table
 from regionlab.sql_reference import reference_sql
 
 
-def _metadata(spark: SparkSession, d: str, *cols: str) -> DataFrame:
-    return table(spark, d, "metadata").select(*cols)
+# what a query reads of a region unless it names less; the lines below regions are read by none of these
+REGION = ("bbox", "type", "language", "legibility", "text")
 
 
-def _long(spark: SparkSession, d: str, *keep: str) -> DataFrame:
-    return cleaning.regions_long(_metadata(spark, d, *keep, "regions"), *keep).drop("lines")
+def _metadata(spark: SparkSession, d: str, *cols: str, members: tuple[str, ...] = REGION) -> DataFrame:
+    return table(spark, d, "metadata", regions=members).select(*cols)
+
+
+def _long(spark: SparkSession, d: str, *keep: str, members: tuple[str, ...] = REGION) -> DataFrame:
+    return cleaning.regions_long(_metadata(spark, d, *keep, "regions", members=members), *keep)
 
 
 def _solution(spark: SparkSession, d: str) -> DataFrame:
@@ -88,21 +92,21 @@ def page_text_reading_order(spark: SparkSession, d: str) -> DataFrame:
 
 
 def nms_kept(spark: SparkSession, d: str) -> DataFrame:
-    pages = spread(_metadata(spark, d, "row_id", "regions")).select("row_id", F.filter("regions", lambda r: r.isNotNull()).alias("r"))
+    pages = spread(_metadata(spark, d, "row_id", "regions", members=("bbox", "type"))).select("row_id", F.filter("regions", lambda r: r.isNotNull()).alias("r"))
     return pages.select("row_id", F.explode(matching.suppressed(F.col("r"))).alias("idx"))
 
 
 def nms_counts(spark: SparkSession, d: str) -> DataFrame:
-    pages = spread(_metadata(spark, d, "source", "regions")).select("source", F.filter("regions", lambda r: r.isNotNull()).alias("r")).where("r is not null")
+    pages = spread(_metadata(spark, d, "source", "regions", members=("bbox", "type"))).select("source", F.filter("regions", lambda r: r.isNotNull()).alias("r")).where("r is not null")
     return pages.groupBy("source").agg(F.sum(F.size("r")).alias("before"), F.sum(F.size(matching.suppressed(F.col("r")))).alias("after"))
 
 
 def scorable_by_source(spark: SparkSession, d: str) -> DataFrame:
-    return profile.scorable_share(_long(spark, d, "source"))
+    return profile.scorable_share(_long(spark, d, "source", members=("type", "language", "legibility")))
 
 
 def type_crosstab(spark: SparkSession, d: str) -> DataFrame:
-    return profile.type_crosstab(_long(spark, d, "source"))
+    return profile.type_crosstab(_long(spark, d, "source", members=("type",)))
 
 
 def source_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -110,29 +114,29 @@ def source_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def source_profile(spark: SparkSession, d: str) -> DataFrame:
-    return profile.source_profile(_metadata(spark, d, "source", "image_width", "image_height", "regions"))
+    return profile.source_profile(_metadata(spark, d, "source", "image_width", "image_height", "regions", members=("type",)))
 
 
 def length_stats(spark: SparkSession, d: str) -> DataFrame:
-    return profile.length_stats(_long(spark, d, "source"))
+    return profile.length_stats(_long(spark, d, "source", members=("text",)))
 
 
 def length_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    p = profile.length_percentiles(_long(spark, d, "source"))
+    p = profile.length_percentiles(_long(spark, d, "source", members=("text",)))
     return p.select("source", *[F.round(c, 6).alias(c) for c in ("p90", "p95", "p99")])
 
 
 def region_count_stats(spark: SparkSession, d: str) -> DataFrame:
-    r = profile.region_count_stats(_metadata(spark, d, "image_width", "image_height", "regions"))
+    r = profile.region_count_stats(_metadata(spark, d, "image_width", "image_height", "regions", members=("type",)))
     return r.select("least", F.col("median").cast("double").alias("median"), F.round("mean", 6).alias("mean"), "most")
 
 
 def usable_texts(spark: SparkSession, d: str) -> DataFrame:
-    return profile.usable_texts(_long(spark, d, "row_id", "source")).groupBy("source").agg(F.count("*").alias("n"))
+    return profile.usable_texts(_long(spark, d, "row_id", "source", members=("type", "language", "legibility", "text"))).groupBy("source").agg(F.count("*").alias("n"))
 
 
 def char_frequency(spark: SparkSession, d: str) -> DataFrame:
-    return profile.character_counts(_long(spark, d))
+    return profile.character_counts(_long(spark, d, members=("text",)))
 
 
 def alphabet_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -144,23 +148,23 @@ def rare_chars(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chars_only_in_source(spark: SparkSession, d: str) -> DataFrame:
-    return profile.only_in(profile.character_counts(_long(spark, d, "source"), "source"), "school")
+    return profile.only_in(profile.character_counts(_long(spark, d, "source", members=("text",)), "source"), "school")
 
 
 def char_vocab(spark: SparkSession, d: str) -> DataFrame:
-    return cleaning.vocabulary(_metadata(spark, d, "split", "regions").where("split = 'train'").select("regions"))
+    return cleaning.vocabulary(_metadata(spark, d, "split", "regions", members=("text",)).where("split = 'train'").select("regions"))
 
 
 def strike_markers(spark: SparkSession, d: str) -> DataFrame:
-    return profile.marked(_long(spark, d, "source"))
+    return profile.marked(_long(spark, d, "source", members=("text",)))
 
 
 def outlier_files(spark: SparkSession, d: str) -> DataFrame:
-    return profile.outlier_files(_long(spark, d, "file_name"), 260)
+    return profile.outlier_files(_long(spark, d, "file_name", members=("text",)), 260)
 
 
 def _silver_rule(spark: SparkSession, d: str):
-    pages = _metadata(spark, d, "row_id", "split", "regions")
+    pages = _metadata(spark, d, "row_id", "split", "regions", members=("text",))
     known = cleaning.vocabulary_text(pages.where("split = 'train'"))
     return pages.where("split = 'silver'").drop("split"), lambda r: cleaning.is_clean_silver(r, known)
 
@@ -175,7 +179,7 @@ def clean_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def clean_train_stats(spark: SparkSession, d: str) -> DataFrame:
-    return cleaning.filter_stats(_metadata(spark, d, "split", "regions").where("split = 'train'"), cleaning.is_clean_train)
+    return cleaning.filter_stats(_metadata(spark, d, "split", "regions", members=("text",)).where("split = 'train'"), cleaning.is_clean_train)
 
 
 def hash_split(spark: SparkSession, d: str) -> DataFrame:
@@ -196,12 +200,12 @@ def first_per_source(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fewshot_topk(spark: SparkSession, d: str) -> DataFrame:
-    return cleaning.shortest_examples(_long(spark, d))
+    return cleaning.shortest_examples(_long(spark, d, members=("type", "language", "legibility", "text")))
 
 
 def normalize_plain(spark: SparkSession, d: str) -> DataFrame:
     """Normalized texts of the regions that are neither formulas nor tables."""
-    long = spread(_long(spark, d, "row_id")).where(~F.coalesce(F.col("type").isin("formula", "table"), F.lit(False)))
+    long = spread(_long(spark, d, "row_id", members=("type", "text"))).where(~F.coalesce(F.col("type").isin("formula", "table"), F.lit(False)))
     return long.select("row_id", "idx", normalize_text(F.col("text"), F.col("type")).alias("normalized"))
 
 
@@ -220,12 +224,12 @@ def normalize_goldens(spark: SparkSession, d: str) -> DataFrame:
 
 def normalize_formulas(spark: SparkSession, d: str) -> DataFrame:
     """Formulas and tables, normalized."""
-    long = spread(_long(spark, d, "row_id")).where(F.col("type").isin("formula", "table"))
+    long = spread(_long(spark, d, "row_id", members=("type", "text"))).where(F.col("type").isin("formula", "table"))
     return long.select("row_id", "idx", normalize_text(F.col("text"), F.col("type")).alias("normalized"))
 
 
 def _boxes(spark: SparkSession, d: str) -> DataFrame:
-    return _long(spark, d, "row_id", "image_width", "image_height").where(geometry.usable(F.col("bbox"))).select("row_id", "idx", "bbox", "image_width", "image_height")
+    return _long(spark, d, "row_id", "image_width", "image_height", members=("bbox",)).where(geometry.usable(F.col("bbox"))).select("row_id", "idx", "bbox", "image_width", "image_height")
 
 
 def _flat(df: DataFrame, box: str, *keep: str) -> DataFrame:
@@ -347,7 +351,7 @@ def chat_messages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chat_detect_samples(spark: SparkSession, d: str) -> DataFrame:
-    pages = _metadata(spark, d, "row_id", "image_width", "image_height", "regions")
+    pages = _metadata(spark, d, "row_id", "image_width", "image_height", "regions", members=("bbox", "type"))
     b = pages.select("row_id", F.posexplode(export.detect_blocks(F.col("regions"), F.col("image_width"), F.col("image_height"))).alias("no", "b"))
     return _flat(b.select("row_id", "no", "b.*"), "bbox_2d", "row_id", "no", "block_type", "writing_type")
 

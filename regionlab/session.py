@@ -7,7 +7,10 @@ import tempfile
 import uuid
 import zipfile
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 
 def get_spark(app: str = "regionlab", master: str | None = None, **conf: str) -> SparkSession:
@@ -53,9 +56,27 @@ def ship(spark: SparkSession) -> None:
     sc.addPyFile(path)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def narrowed(dtype: T.DataType, members: Sequence[str]) -> T.DataType:
+    """A struct, or an array of structs, of some of its members in the order they are stored."""
+    if isinstance(dtype, T.ArrayType):
+        return T.ArrayType(narrowed(dtype.elementType, members), dtype.containsNull)
+    if lacking := [m for m in members if m not in dtype.fieldNames()]:
+        raise ValueError(f"no members: {lacking}")
+    return T.StructType([f for f in dtype.fields if f.name in members])
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, **members: Sequence[str]) -> DataFrame:
+    """A table. ``members`` names, by column, what is to be read of an array of structs (for its size, any plain member will do).
+
+    Spark drops unread members of nested columns only as long as no lambda, generator of whole elements or shuffle lies between them
+    and the scan; a narrowed read schema never reads them.
+    """
     ship(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if not members:
+        return df
+    fields = [T.StructField(f.name, narrowed(f.dataType, members[f.name]) if f.name in members else f.dataType, f.nullable) for f in df.schema.fields]
+    return spark.read.schema(T.StructType(fields)).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
