@@ -3,53 +3,71 @@
 Two pages are the same if they have the same image, or texts of which at least ``MIN_COMMON`` of the longer one's words are common in
 order (a longest common subsequence), as read by eye: words come from ``confusables.words``.
 
-1. Every page's words and keys are made once and written. Equal texts form one class; classes of both sides give the exact pairs.
-2. The evaluation classes are dealt to *shards* by length, each of at most ``SHARD_WORDS`` words. A shard becomes a full-text index
-   over words (an FM-index: the Burrows-Wheeler transform of the shard as occurrence lists of every word, with the suffix array).
-3. Training classes are streamed through the shards of compatible length. Backward search finds all places of every run of ``seed``
-   words, in which one word may be skipped, in the query or in the text. The interval found is exact, so no partner is cut off.
-4. Pairs that share at least ``least_common`` such runs are checked by the exact length of their common subsequence (bit-parallel).
-   No pair of the rule shares fewer. Let c words be common in order, k the seed. They hold c-k+1 runs of k neighbours. Each of the
-   n+m-2c other words is skipped by at most k-1 of them, so at most (k-1)(n+m-2c)/2 runs skip two words or more. The rest share a
-   run, each from its own place. From ``seed_length`` this is at least one for all lengths from ``MIN_COMMON`` on.
-5. Pairs of classes become pairs of rows by joining the memberships; what only the image ties is added.
-
-The index lies in files in the shared folder, one per shard; a task reads those it needs one after another, so neither the driver nor
-any task holds the whole index. Streaming costs the training words times the shards of compatible length.
+1. Every page's words and keys are made once and written. Equal texts form one class; copies never meet before the result.
+2. The evaluation classes are dealt to *shards* by length, each of at most ``SHARD_WORDS`` words. A shard becomes a compressed
+   full-text index (``fmindex``).
+3. Training classes are sent to the shards of compatible length and dealt to parts of ``PART_WORDS`` words; the task of a part loads its
+   shard's index once. Backward search counts every run of two words of a text (``Index.search``), rare or not, before any is listed.
+4. No pair of the rule shares fewer than ``least_common`` runs, so the texts of a query's most frequent runs need not be listed: of r runs
+   due all but ``SPARE - 1`` may be left out. What was listed counts towards what is due then; texts that lack too many of each other's words
+   (by their signatures) cannot be a pair either. Both are bounds: no pair is lost.
+5. The runs that a candidate shares merge to maximal spans; their words must reach a bound too. The exact length of the common
+   subsequence (bit-parallel) decides.
+6. Links of classes are the result of ``class_links``, from which ``report`` counts pairs without listing them. ``overlaps`` lists every
+   pair of rows; hot keys are salted on both sides.
+
+Why two words: let c words be common in order, of texts of n and m words. They hold c - 1 pairs of neighbours. Each of the n + m - 2c other
+words parts at most one of them, so 3c - 1 - n - m neighbours stay together in both texts. With c = 3/4 of the longer this is one or more
+from three words on, but for two texts of four words each: texts that short are looked for by single words.
+
+The cost is the training words times the shards of compatible length, and the chance hits, which grow with both sides.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
-import pickle
-import uuid
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regionlab.llm.confusables import skeleton, words
-from regionlab.session import shared_dir, written
+from regionlab.llm.fmindex import Index, signatures
+from regionlab.session import kept, written
 
 MIN_COMMON = 0.75
-SHARD_WORDS = 1_500_000
-AT_ONCE = 300_000  # words of training texts searched together
-EXPAND = 1_000_000  # hits expanded at a time, or those of one query
+SHARD_WORDS = 1_000_000  # of evaluation texts in an index
+PART_WORDS = 500_000  # of training texts in a task
+AT_ONCE = 200_000  # words of training texts searched together
+EXPAND = 1_000_000  # hits listed at a time, or those of one query
+SPARE = 4  # runs that a candidate must be seen to share, where so many are due
+HOT = 20_000  # rows of one key on one side that are joined in one task
 
 
-def seed_length(n: int) -> int:
-    """Words of a run that is looked up, by the length of the evaluation text: the most with which ``least_common`` stays positive."""
-    return 2 if n < 9 else 3
+def run_length(n: int) -> int:
+    """Words of a run that is looked up, by the length of the evaluation text; see ``least_common``."""
+    return 1 if n <= 4 else 2
 
 
-def least_common(n, m, seed: int, min_common: float = MIN_COMMON):
-    """(words, runs) that texts of ``n`` and ``m`` words have in common at least if they are almost the same (arrays or numbers)."""
-    c = np.ceil(min_common * np.maximum(n, m) - 1e-9).astype(np.int64)
-    return c, c - (seed - 1) - (seed - 1) * (n + m - 2 * c) // 2
+def common_due(n, m, min_common: float = MIN_COMMON):
+    """Words that texts of ``n`` and ``m`` words have in common in order if they are almost the same (arrays or numbers)."""
+    return np.ceil(min_common * np.maximum(n, m) - 1e-9).astype(np.int64)
+
+
+def least_common(n, m, run: int, min_common: float = MIN_COMMON):
+    """Places of either text from which texts that are almost the same share a run of one or two words at least."""
+    c = common_due(n, m, min_common)
+    return c if run == 1 else 3 * c - 1 - n - m
+
+
+def least_covered(n, m, run: int, min_common: float = MIN_COMMON):
+    """Words of either text that lie in shared runs at least: the common ones fall into n + m - 2c + 1 blocks at most, all but one of a word."""
+    c = common_due(n, m, min_common)
+    return c if run == 1 else 3 * c - n - m
 
 
 def common_words(a: np.ndarray | list, b: np.ndarray | list) -> int:
@@ -65,249 +83,123 @@ def common_words(a: np.ndarray | list, b: np.ndarray | list) -> int:
     return len(a) - s.bit_count()
 
 
-@dataclass
-class Index:
-    """Full-text index of the texts of one shard. Symbol 0 ends every text; words have symbols from 1."""
-
-    seed: int
-    keys: list[str]
-    vocabulary: dict[str, int]
-    starts: np.ndarray  # of each text in the concatenation
-    text: np.ndarray
-    suffixes: np.ndarray  # positions, in the order of their first ``seed`` words
-    first: np.ndarray  # C: suffixes that begin with a smaller symbol
-    occurrences: np.ndarray  # for each symbol in turn, the ranks whose preceding symbol it is
-    since: np.ndarray  # where a symbol's occurrences begin
-    skips: list[np.ndarray]  # positions in the order of the ``seed`` words from there of which one is skipped, by which one
-
-    @classmethod
-    def build(cls, keys: list[str], texts: list[str], seed: int) -> Index:
-        vocabulary: dict[str, int] = {}
-        parts = [[vocabulary.setdefault(w, len(vocabulary) + 1) for w in t.split(" ")] + [0] for t in texts]
-        starts = np.cumsum([0] + [len(p) for p in parts])[:-1].astype(np.int32)
-        text = np.array([s for p in parts for s in p], np.int32)
-        n, symbols = len(text), len(vocabulary) + 1
-        # ranks by the first 1, 2, ... words: each step takes in one more
-        rank = text.astype(np.int64)
-        for k in range(1, seed):
-            ahead = np.zeros(n, np.int64)
-            ahead[: n - k] = text[k:]
-            rank = np.unique(rank * symbols + ahead, return_inverse=True)[1].astype(np.int64)
-        suffixes = np.argsort(rank, kind="stable").astype(np.int32)
-        before = text[suffixes - 1]  # of position 0 the last symbol, an end
-        occurrences = np.argsort(before, kind="stable").astype(np.int32)
-        counts = np.bincount(text, minlength=symbols)
-        first = np.r_[0, np.cumsum(counts)].astype(np.int64)
-        since = np.r_[0, np.cumsum(np.bincount(before, minlength=symbols))].astype(np.int64)
-        x = cls(seed, keys, vocabulary, starts, text, suffixes, first, occurrences, since, [])
-        for at, key in x._skipping(np.arange(n - seed)):
-            x.skips.append(at[np.argsort(key, kind="stable")].astype(np.int32))
-        return x
-
-    def _skipping(self, *at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(positions, keys) of the runs that skip a word: positions ``at`` (for both ways, or for each) with all words in one text."""
-        if self.seed not in (2, 3):
-            return
-        symbols, t = len(self.first) - 1, self.text.astype(np.int64)
-        if self.seed == 3:
-            # where the interval of the two words from each position begins
-            sorted_ = t[self.suffixes] * symbols + np.r_[t, 0][self.suffixes + 1]
-            begin = np.arange(len(t))
-            begin[1:][sorted_[1:] == sorted_[:-1]] = 0
-            low = np.empty(len(t), np.int64)
-            low[self.suffixes] = np.maximum.accumulate(begin)
-        for way in range(self.seed - 1):
-            a = at[way % len(at)].astype(np.int64)
-            a = a[np.all([t[a + k] > 0 for k in range(self.seed + 1)], axis=0)]
-            pair, other = (a, a + 2) if self.seed == 2 else (a, a + 3) if way == 0 else (a + 2, a)
-            yield a, (t[pair] if self.seed == 2 else low[pair]) * symbols + t[other]
-
-    def dump(self) -> bytes:
-        return zlib.compress(pickle.dumps(self, protocol=5), 1)
-
-    @staticmethod
-    def load(blob: bytes) -> Index:
-        x: Index = pickle.loads(zlib.decompress(blob))
-        n = len(x.text)
-        symbol = np.repeat(np.arange(len(x.since) - 1, dtype=np.int64), np.diff(x.since))
-        x.ordered = symbol * (n + 1) + x.occurrences
-        x.skip_keys = [key for _, key in x._skipping(*x.skips)]
-        # the text of every rank: suffixes, then the positions of each way to skip
-        x.owner = (np.searchsorted(x.starts, np.concatenate([x.suffixes, *x.skips]), side="right") - 1).astype(np.int32)
-        return x
-
-    def before(self, symbol: np.ndarray, rank: np.ndarray) -> np.ndarray:
-        """Suffixes among the first ``rank`` that ``symbol`` precedes."""
-        return np.searchsorted(self.ordered, symbol * (len(self.text) + 1) + rank) - self.since[symbol]
-
-    def search(self, symbols: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(position, low, high) of the runs of ``seed`` symbols from each position that occur: backward search from their ends.
-
-        ``symbols``: the queries one after another, -1 for unknown words; ``ends``: each position's query's end.
-        """
-        at = np.arange(len(symbols))
-        at = at[at + self.seed <= ends]
-        s = symbols[at + self.seed - 1]
-        at, s = at[s > 0], s[s > 0]
-        low, high = self.first[s], self.first[s + 1]
-        for k in range(self.seed - 2, -1, -1):
-            s = symbols[at + k].astype(np.int64)
-            ok = s > 0
-            at, s, low, high = at[ok], s[ok], low[ok], high[ok]
-            base = self.first[s]
-            low, high = base + self.before(s, low), base + self.before(s, high)
-            ok = low < high
-            at, low, high = at[ok], low[ok], high[ok]
-        return at, low, high
-
-    def partners(self, queries: list[list[str]]) -> Iterator[tuple[int, int, int]]:
-        """(query, text, words covered) of all pairs with at least one match."""
-        get = self.vocabulary.get
-        lens = np.array([len(q) for q in queries], np.int64)
-        symbols = np.array([get(w, -1) for q in queries for w in q], np.int64)
-        ends = np.repeat(np.cumsum(lens), lens)
-        at, low, high = self.search(symbols, ends)
-        of = np.repeat(np.arange(len(queries)), lens)
-        # equal runs of one query have one interval, which is looked up once: a query's hits are no more than the shard's words
-        _, once, times = np.unique(of[at] * (len(self.text) + 1) + low, return_index=True, return_counts=True)
-        at, low, hits, query = at[once], low[once], (high - low)[once], of[at[once]]
-        # whole queries at a time, so that all hits of a pair are merged together
-        bounds = np.flatnonzero(np.r_[True, query[1:] != query[:-1]]) if len(query) else np.empty(0, np.int64)
-        ends_of = np.r_[bounds[1:], len(query)]
-        done = np.r_[0, np.cumsum(hits)]
-        begin = 0
-        while begin < len(bounds):
-            a = bounds[begin]
-            stop = max(begin + 1, int(np.searchsorted(done[ends_of], done[a] + EXPAND, side="right")))
-            b = ends_of[stop - 1]
-            yield from self._merge(query[a:b], at[a:b], low[a:b], hits[a:b], times[a:b])
-            begin = stop
-
-    def _merge(self, query, at, low, hits, times) -> Iterator[tuple[int, int, int]]:
-        """(query, text, words covered): the union of the matches' words, those of runs that a query repeats counted for each repeat."""
-        rank = np.repeat(low - np.r_[0, np.cumsum(hits)[:-1]], hits) + np.arange(hits.sum())
-        text = np.searchsorted(self.starts, self.suffixes[rank], side="right") - 1
-        query, where, times = np.repeat(query, hits), np.repeat(at, hits), np.repeat(times, hits)
-        order = np.lexsort((where, text, query))
-        query, text, where, times = query[order], text[order], where[order], times[order]
-        new = np.r_[True, (query[1:] != query[:-1]) | (text[1:] != text[:-1])]
-        again = np.r_[False, where[1:] == where[:-1]] & ~new  # the same run at another place of the same text
-        step = np.minimum(np.r_[self.seed, np.diff(where)], self.seed)
-        step[new] = self.seed
-        step = np.where(again, 0, step + (times - 1) * self.seed)
-        starts = np.flatnonzero(new)
-        cover = np.add.reduceat(step, starts)
-        yield from zip(query[starts].tolist(), text[starts].tolist(), cover.tolist(), strict=True)
-
-    def _runs(self, symbols: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(position, low, high) of the runs of ``seed`` words from each position that occur, a word skipped on one side at most; a kind of run at a time.
-
-        ``low`` and ``high`` are ranks in ``owner``.
-        """
-        n, width = len(symbols), len(self.first) - 1
-        s = np.r_[symbols, np.full(4, -1)]
-        ends = np.r_[ends, np.full(4, -1)]
-
-        def pairs(gap: int) -> tuple[np.ndarray, np.ndarray]:
-            low, high = np.zeros(n + 4, np.int64), np.zeros(n + 4, np.int64)
-            at = np.arange(n)
-            at = at[(at + gap < ends[:n]) & (s[:n] > 0) & (s[at + gap] > 0)]
-            x, y = s[at], s[at + gap]
-            low[at], high[at] = self.first[x] + self.before(x, self.first[y]), self.first[x] + self.before(x, self.first[y + 1])
-            return low, high
-
-        def held(low: np.ndarray, high: np.ndarray, *at: np.ndarray):
-            ok = low < high
-            return *(a[ok] for a in at), low[ok], high[ok]
-
-        def skipped(way: int, at: np.ndarray, key: np.ndarray):
-            base = len(self.text) + sum(map(len, self.skips[:way]))
-            keys = self.skip_keys[way]
-            return held(base + np.searchsorted(keys, key), base + np.searchsorted(keys, key, side="right"), at)
-
-        near, wide = pairs(1), pairs(2)
-        if self.seed == 2:
-            for low, high in (near, wide):
-                yield held(low[:n], high[:n], np.arange(n))
-            at = np.flatnonzero((s[:n] > 0) & (s[1 : n + 1] > 0) & (np.arange(n) + 1 < ends[:n]))
-            yield skipped(0, at, s[at] * width + s[at + 1])
-            return
-        for tail, step in ((near, 1), (wide, 1), (near, 2)):
-            # the pair behind the first word lies in one query; so must the first word
-            at, low, high = held(tail[0][step : n + step], tail[1][step : n + step], np.arange(n))
-            ok = (s[at] > 0) & (at + step < ends[at])
-            at, low, high = at[ok], low[ok], high[ok]
-            x = s[at]
-            yield held(self.first[x] + self.before(x, low), self.first[x] + self.before(x, high), at)
-        at = np.arange(n)
-        at = at[(at + 2 < ends[:n]) & (s[:n] > 0) & (s[at + 2] > 0)]
-        first = at[near[0][at] < near[1][at]]
-        yield skipped(0, first, near[0][first] * width + s[first + 2])
-        last = at[near[0][at + 1] < near[1][at + 1]]
-        yield skipped(1, last, near[0][last + 1] * width + s[last])
-
-    def sharing(self, queries: list[list[str]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(query, text, runs) of all pairs that share a run: never fewer runs than a query has places from which the text shares one."""
-        get = self.vocabulary.get
-        lens = np.array([len(q) for q in queries], np.int64)
-        symbols = np.array([get(w, -1) for q in queries for w in q], np.int64)
-        of = np.repeat(np.arange(len(queries)), lens)
-        found = []
-        for at, low, high in self._runs(symbols, np.repeat(np.cumsum(lens), lens)):
-            # equal runs of one query are looked up once
-            _, once, times = np.unique(of[at] * (len(self.owner) + 1) + low, return_index=True, return_counts=True)
-            found.append((of[at[once]], low[once], (high - low)[once], times))
-        query, low, hits, times = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.argsort(query, kind="stable")
-        query, low, hits, times = query[order], low[order], hits[order], times[order]
-        # whole queries at a time, so that all hits of a pair are counted together
-        bounds = np.flatnonzero(np.r_[True, query[1:] != query[:-1]]) if len(query) else np.empty(0, np.int64)
-        ends_of = np.r_[bounds[1:], len(query)]
-        done = np.r_[0, np.cumsum(hits)]
-        begin = 0
-        while begin < len(bounds):
-            a = bounds[begin]
-            stop = max(begin + 1, int(np.searchsorted(done[ends_of], done[a] + EXPAND, side="right")))
-            b = ends_of[stop - 1]
-            h = hits[a:b]
-            run = np.repeat(np.arange(b - a), h)
-            text = self.owner[np.arange(len(run)) + (low[a:b] - (done[a:b] - done[a]))[run]]
-            # the places of a run in one text lie side by side
-            new = np.r_[True, (run[1:] != run[:-1]) | (text[1:] != text[:-1])]
-            run, text = run[new], text[new]
-            pair = query[a:b][run] * len(self.starts) + text
+def common_spans(a: list[int], b: list[int], run: int) -> list[tuple[int, int]]:
+    """(start, end) of the maximal spans of ``a`` whose every run of ``run`` words occurs in ``b``: the matches, merged."""
+    held = {tuple(b[j : j + run]) for j in range(len(b) - run + 1)}
+    out: list[tuple[int, int]] = []
+    for i in range(len(a) - run + 1):
+        if tuple(a[i : i + run]) in held:
+            if out and i <= out[-1][1]:
+                out[-1] = (out[-1][0], i + run)
+            else:
+                out.append((i, i + run))
+    return out
+
+
+class Search:
+    """Looks the texts of one batch of queries up in an index."""
+
+    def __init__(self, index: Index, queries: list[list[str]], min_common: float):
+        self.index, self.min_common = index, min_common
+        self.sizes = np.array([len(q) for q in queries], np.int64)
+        self.coded = [index.numbered(q) for q in queries]
+        self.numbers = np.array([x for q in self.coded for x in q], np.int64)
+        self.of = np.repeat(np.arange(len(queries)), self.sizes)
+        known = self.numbers > 0
+        self.unknown = np.bincount(self.of[~known], minlength=len(queries))
+        self.signs = signatures(len(queries), self.of[known], self.numbers[known], index.signs.shape[1] * 64)
+
+    def due(self) -> np.ndarray:
+        """Runs that each query shares with any text it is almost the same as."""
+        lengths = np.unique(self.index.sizes)
+        sizes, back = np.unique(self.sizes, return_inverse=True)
+        n, m = lengths[None], sizes[:, None]
+        least = np.where(np.minimum(n, m) >= common_due(n, m, self.min_common), least_common(n, m, self.index.run, self.min_common), np.iinfo(np.int64).max)
+        return np.maximum(least.min(1), 1)[back]
+
+    def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, low, suffixes) of every place from which a run is known, those of most suffixes first within a query."""
+        run = self.index.run
+        n = len(self.numbers) - run + 1
+        if n <= 0:
+            return (np.zeros(0, np.int64),) * 3
+        held = np.stack([self.numbers[k : n + k] for k in range(run)], 1)
+        at = np.flatnonzero((self.of[:n] == self.of[run - 1 :]) & (held > 0).all(1))
+        distinct, back = np.unique(held[at] @ np.array([len(self.index.first) ** k for k in range(run)]), return_inverse=True)
+        once = np.zeros(len(distinct), np.int64)
+        once[back] = at
+        low, high = self.index.search(held[once])
+        low, wide = low[back], (high - low)[back]
+        query = self.of[at]
+        order = np.lexsort((low, -wide, query))
+        order = order[wide[order] > 0]
+        return query[order], low[order], wide[order]
+
+    def candidates(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(query, text) of all pairs that no bound rules out."""
+        due = self.due()
+        query, low, wide = self.runs()
+        begins = np.flatnonzero(np.r_[True, query[1:] != query[:-1]]) if len(query) else np.zeros(0, np.int64)
+        held = np.diff(np.r_[begins, len(query)])
+        left_out = np.maximum(due - SPARE, 0)
+        place = np.arange(len(query)) - np.repeat(begins, held)
+        listed = (np.repeat(held, held) >= due[query]) & (place >= left_out[query])
+        query, low, wide = query[listed], low[listed], wide[listed]
+        # equal runs of one query lie side by side: looked up once, counted as often as they are there
+        new = np.flatnonzero(np.r_[True, (query[1:] != query[:-1]) | (low[1:] != low[:-1])]) if len(query) else np.zeros(0, np.int64)
+        times = np.diff(np.r_[new, len(query)])
+        query, low, wide = query[new], low[new], wide[new]
+        # whole queries at a time, so that all that is listed of a pair is counted together
+        begins = np.flatnonzero(np.r_[True, query[1:] != query[:-1]]) if len(query) else np.zeros(0, np.int64)
+        ends, done = np.r_[begins[1:], len(query)], np.r_[0, np.cumsum(wide)]
+        i = 0
+        while i < len(begins):
+            a = begins[i]
+            i = max(i + 1, int(np.searchsorted(done[ends], done[a] + EXPAND, side="right")))
+            b = ends[i - 1]
+            run = np.repeat(np.arange(a, b), wide[a:b])
+            text = self.index.owner[np.arange(len(run)) + (low[run] - (done[run] - done[a]))].astype(np.int64)
+            pair = query[run] * len(self.index.keys) + text
             order = np.argsort(pair)
             pair = pair[order]
             starts = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
-            yield pair[starts] // len(self.starts), pair[starts] % len(self.starts), np.add.reduceat(times[a:b][run][order], starts)
-            begin = stop
-
-    def text_of(self, i: int) -> list[int]:
-        end = self.starts[i + 1] - 1 if i + 1 < len(self.starts) else len(self.text) - 1
-        return self.text[self.starts[i] : end].tolist()
-
-    def close_to(self, keys: list[str], queries: list[list[str]], min_common: float) -> Iterator[tuple[str, str]]:
-        held = np.cumsum([len(q) for q in queries]) // AT_ONCE
-        cuts = np.flatnonzero(np.r_[True, held[1:] != held[:-1], True]) if len(queries) else []
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            yield from self._close_to(keys[a:b], queries[a:b], min_common)
-
-    def _close_to(self, keys, queries, min_common) -> Iterator[tuple[str, str]]:
-        get = self.vocabulary.get
-        coded: dict[int, list[int]] = {}
-        size = np.diff(np.r_[self.starts, len(self.text)]) - 1
-        lens = np.array([len(q) for q in queries], np.int64)
-        for query, text, runs in self.sharing(queries):
-            n, m = lens[query], size[text]
-            words_, least = least_common(n, m, self.seed, min_common)
-            ok = (np.minimum(n, m) >= words_) & (runs >= least)
-            for q, t, c in zip(query[ok].tolist(), text[ok].tolist(), words_[ok].tolist(), strict=True):
-                if keys[q] == self.keys[t]:
-                    continue
-                if q not in coded:
-                    coded[q] = [get(w, -1) for w in queries[q]]
-                if common_words(coded[q], self.text_of(t)) >= c:
-                    yield keys[q], self.keys[t]
+            shared = np.add.reduceat(times[run][order], starts)
+            q, t = pair[starts] // len(self.index.keys), pair[starts] % len(self.index.keys)
+            n, m = self.index.sizes[t], self.sizes[q]
+            c = common_due(n, m, self.min_common)
+            ok = (np.minimum(n, m) >= c) & (shared >= least_common(n, m, self.index.run, self.min_common) - left_out[q])
+            q, t, n, m, c = (x[ok] for x in (q, t, n, m, c))
+            mine, theirs = self.signs[q], self.index.signs[t]
+            ok = (np.bitwise_count(mine & ~theirs).sum(1) + self.unknown[q] <= m - c) & (np.bitwise_count(theirs & ~mine).sum(1) <= n - c)
+            yield q[ok], t[ok]
+
+    def close(self) -> Iterator[tuple[int, int, int, int, int]]:
+        """(query, text, common words, spans, words of the query in them) of all texts that are almost the same, equal ones included."""
+        run = self.index.run
+        for q, t in self.candidates():
+            distinct, back = np.unique(t, return_inverse=True)
+            texts = self.index.texts(distinct)
+            for i, k, j in zip(q.tolist(), back.tolist(), t.tolist(), strict=True):
+                a, b = self.coded[i], texts[k]
+                spans = common_spans(a, b, run)
+                covered = sum(y - x for x, y in spans)
+                if covered >= least_covered(len(b), len(a), run, self.min_common):
+                    c = common_words(a, b)
+                    if c >= common_due(len(b), len(a), self.min_common):
+                        yield i, j, c, len(spans), covered
+
+
+LINKS = "train_key string, eval_key string, common int, spans int, covered int"
+
+
+def close_to(index: Index, keys: list[str], queries: list[list[str]], min_common: float = MIN_COMMON) -> Iterator[tuple[str, str, int, int, int]]:
+    """Rows of ``LINKS`` for the queries, texts of different keys only; long batches are taken in pieces."""
+    held = np.cumsum([len(q) for q in queries]) // AT_ONCE
+    cuts = np.flatnonzero(np.r_[True, held[1:] != held[:-1], True]) if len(queries) else []
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        for i, j, *counts in Search(index, queries[a:b], min_common).close():
+            if keys[a + i] != index.keys[j]:
+                yield keys[a + i], index.keys[j], *counts
 
 
 @dataclass(frozen=True)
@@ -315,12 +207,12 @@ class Shard:
     no: int
     shortest: int
     longest: int
-    seed: int
+    run: int
     parts: int  # > 1: the texts of one length, dealt by hash to shards no .. no + parts - 1
 
 
 def plan_shards(lengths: dict[int, int], most: int = SHARD_WORDS) -> list[Shard]:
-    """Ranges of lengths with about ``most`` words each; a length that has more is split. Ranges keep to one seed length."""
+    """Ranges of lengths with about ``most`` words each; a length that has more is split. Ranges keep to one run length."""
     out: list[Shard] = []
     no = 0
     run: list[int] = []
@@ -329,17 +221,17 @@ def plan_shards(lengths: dict[int, int], most: int = SHARD_WORDS) -> list[Shard]
     def close() -> None:
         nonlocal no, run, held
         if run:
-            out.append(Shard(no, run[0], run[-1], seed_length(run[0]), 1))
+            out.append(Shard(no, run[0], run[-1], run_length(run[0]), 1))
             no += 1
         run, held = [], 0
 
     for n in sorted(lengths):
         size = (n + 1) * lengths[n]
-        if run and (held + size > most or seed_length(n) != seed_length(run[0])):
+        if run and (held + size > most or run_length(n) != run_length(run[0])):
             close()
         if size > most:
             parts = math.ceil(size / most)
-            out.append(Shard(no, n, n, seed_length(n), parts))
+            out.append(Shard(no, n, n, run_length(n), parts))
             no += parts
         else:
             run.append(n)
@@ -348,12 +240,39 @@ def plan_shards(lengths: dict[int, int], most: int = SHARD_WORDS) -> list[Shard]
     return out
 
 
+def deals(shards: list[Shard], lengths: dict[int, int]) -> list[tuple[int, int, int, int]]:
+    """(length, first shard, run, shards it is dealt to): both lists ascend, so one pass pairs them."""
+    out, i = [], 0
+    for n in sorted(lengths):
+        while shards[i].longest < n:
+            i += 1
+        out.append((n, shards[i].no, shards[i].run, shards[i].parts))
+    return out
+
+
+def plan_routes(shards: list[Shard], lengths: dict[int, int], min_common: float, part_words: int) -> list[tuple[int, int, int]]:
+    """(words of a training text, shard, parts of the shard's training texts) for all compatible lengths, by two ends that move up."""
+    ns = sorted(lengths)
+    words_ = np.r_[0, np.cumsum([n * lengths[n] for n in ns])]
+    out = []
+    for s in shards:
+        a = int(np.searchsorted(ns, min_common * s.shortest - 1e-9))
+        b = int(np.searchsorted(ns, s.longest / min_common + 1e-9, side="right"))
+        parts = max(1, math.ceil(float(words_[b] - words_[a]) / part_words))
+        out += [(n, s.no + k, parts) for n in ns[a:b] for k in range(s.parts)]
+    return out
+
+
 PAGES = "row_id bigint, side string, image_key string, text_key string, words string, n int"
 
 
-def pages(df: DataFrame, row_id: str, side: str, file_name: str, text: str) -> DataFrame:
-    """Keys and words of every page, written. Texts without words are compared by their signs; blank ones have no key."""
-    import hashlib
+def pages(df: DataFrame, row_id: str, side: str, file_name: str, text: str, *keep: str) -> DataFrame:
+    """``PAGES`` and ``keep``: keys and words of every page, written. Texts without words are compared by their signs; blank ones have no key.
+
+    ``side``: ``train`` or ``eval``; rows of another side, or of none, take no part. Kept columns that bear the name of a made one come
+    out as ``kept_<name>``.
+    """
+    names = kept(keep, {"row_id", "side", "image_key", "text_key", "words", "n", "t"})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -361,83 +280,142 @@ def pages(df: DataFrame, row_id: str, side: str, file_name: str, text: str) -> D
             joined = [" ".join(x) for x in w]
             signs = ["" if x or not t else "\x00" + "".join(skeleton(t).split()) for x, t in zip(w, pdf["t"], strict=True)]
             key = [hashlib.md5((j or s).encode("utf-8", "surrogatepass")).hexdigest() if j or len(s) > 1 else None for j, s in zip(joined, signs, strict=True)]
-            yield pd.DataFrame({"row_id": pdf["row_id"], "side": pdf["side"], "image_key": pdf["image_key"], "text_key": key, "words": joined, "n": [len(x) for x in w]})
+            made = pdf.drop(columns="t").assign(text_key=key, words=joined, n=[len(x) for x in w])
+            yield made[["row_id", "side", "image_key", "text_key", "words", "n", *names.values()]]
 
-    name = F.lower(F.trim(F.regexp_replace(F.element_at(F.split(F.col(file_name), r"[/\\]"), -1), r"(?<=.)\.[^.]*$", "")))
+    name = F.lower(F.trim(F.regexp_replace(F.element_at(F.split(F.col(f"`{file_name}`"), r"[/\\]"), -1), r"(?<=.)\.[^.]*$", "")))
     image = F.when(name != "", name)
-    return written(df.select(F.col(row_id).alias("row_id"), F.col(side).alias("side"), image.alias("image_key"), F.col(text).alias("t")).mapInPandas(run, PAGES))
+    carried = [F.col(f"`{c}`").alias(n) for c, n in names.items()]
+    read = df.select(F.col(f"`{row_id}`").alias("row_id"), F.col(f"`{side}`").alias("side"), image.alias("image_key"), F.col(f"`{text}`").alias("t"), *carried)
+    extra = "".join(f", `{n}` {read.schema[n].dataType.simpleString()}" for n in names.values())
+    return written(read.where("side in ('train', 'eval')").mapInPandas(run, PAGES + extra))
 
 
-def close_texts(p: DataFrame, shard_words: int = SHARD_WORDS, min_common: float = MIN_COMMON) -> DataFrame:
-    """(``train_key``, ``eval_key``): different text classes of training and evaluation that are almost the same.
+def text_classes(p: DataFrame) -> DataFrame:
+    """(``side``, ``text_key``, ``words``, ``n``): one row for all pages of a side with equal words; texts of one or two words have no near ones."""
+    return p.where("n >= 3").groupBy("side", "text_key").agg(F.max("words").alias("words"), F.max("n").alias("n"))
+
+
+def close_texts(p: DataFrame, shard_words: int = SHARD_WORDS, part_words: int = PART_WORDS, min_common: float = MIN_COMMON) -> DataFrame:
+    """``LINKS``: different text classes of training and evaluation that are almost the same, with their common words in order, and the
+    spans of the training text (and words in them) that runs of the other cover.
 
     ``min_common``: at least ``MIN_COMMON``, below which pairs need share no run.
     """
     if min_common < MIN_COMMON:
         raise ValueError(f"min_common is below {MIN_COMMON}")
     spark = p.sparkSession
-    schema = "train_key string, eval_key string"
-    classes = p.where("n >= 3").groupBy("side", "text_key").agg(F.max("words").alias("words"), F.max("n").alias("n"))
-    classes = written(classes)
-    held = classes.where("side = 'eval'")
-    # one row per length of a text
-    lengths = {r["n"]: r["c"] for r in held.groupBy("n").agg(F.count("*").alias("c")).collect()}
-    shards = plan_shards(lengths, shard_words)
-    if not shards:
-        return spark.createDataFrame([], schema)
-    # a row per length that occurs
-    rows = [(n, s.no, s.seed, s.parts) for s in shards for n in lengths if s.shortest <= n <= s.longest]
-    dealt = held.join(F.broadcast(spark.createDataFrame(rows, "n int, no int, seed int, parts int")), "n")
-    dealt = dealt.select((F.col("no") + F.pmod(F.xxhash64("text_key"), F.col("parts")).cast("int")).alias("shard"), "seed", "text_key", "words")
+    classes = written(text_classes(p))
+    # two rows per length of a text
+    lengths: dict[str, dict[int, int]] = {"train": {}, "eval": {}}
+    for r in classes.groupBy("side", "n").agg(F.count("*").alias("c")).collect():
+        lengths[r["side"]][r["n"]] = r["c"]
+    shards = plan_shards(lengths["eval"], shard_words)
+    routes = plan_routes(shards, lengths["train"], min_common, part_words)
+    if not routes:
+        return spark.createDataFrame([], LINKS)
+    dealt = classes.where("side = 'eval'").join(F.broadcast(spark.createDataFrame(deals(shards, lengths["eval"]), "n int, no int, run int, deal int")), "n")
+    dealt = dealt.select((F.col("no") + F.pmod(F.xxhash64("text_key"), F.col("deal")).cast("int")).alias("shard"), "run", "text_key", "words")
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("text_key")
-        index = Index.build(pdf["text_key"].tolist(), pdf["words"].tolist(), int(pdf["seed"].iloc[0]))
+        index = Index.build(pdf["text_key"].tolist(), pdf["words"].tolist(), int(pdf["run"].iloc[0]))
         return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "blob": [index.dump()]})
 
-    folder = f"{shared_dir(spark).rstrip('/')}/regionlab-index-{uuid.uuid4().hex}"
-    dealt.groupBy("shard").applyInPandas(build, "shard int, blob binary").write.partitionBy("shard").parquet(folder)
-    flat = [(s.no + k, s.shortest, s.longest) for s in shards for k in range(s.parts)]
+    # written, so that no index is built twice
+    indexes = written(dealt.groupBy("shard").applyInPandas(build, "shard int, blob binary"))
+    parts = spark.createDataFrame(sorted({(no, k) for _, no, k in routes}), "shard int, parts int")
+    indexes = indexes.join(F.broadcast(parts), "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "blob")
+    # a row per length that occurs and shard that is compatible
+    routed = classes.where("side = 'train'").join(F.broadcast(spark.createDataFrame(routes, "n int, shard int, parts int")), "n")
+    routed = routed.select("shard", F.pmod(F.xxhash64("text_key"), F.col("parts")).cast("int").alias("part"), "text_key", "words")
 
-    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: tuple[int, Index] | None = None
-        for pdf in batches:
-            keys, texts, n = pdf["text_key"].tolist(), [t.split(" ") for t in pdf["words"]], pdf["n"].to_numpy()
-            for no, shortest, longest in flat:
-                ok = np.flatnonzero((n >= min_common * shortest - 1e-9) & (n * min_common <= longest + 1e-9))
-                if not len(ok):
-                    continue
-                if kept is None or kept[0] != no:
-                    kept = (no, Index.load(_read(folder, no)))
-                pairs = list(kept[1].close_to([keys[i] for i in ok], [texts[i] for i in ok], min_common))
-                if pairs:
-                    yield pd.DataFrame(pairs, columns=["train_key", "eval_key"])
+    def look_up(texts: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(texts) and len(index):
+            found = list(close_to(Index.load(index["blob"].iloc[0]), texts["text_key"].tolist(), [t.split(" ") for t in texts["words"]], min_common))
+        return pd.DataFrame(found, columns=["train_key", "eval_key", "common", "spans", "covered"])
 
-    return classes.where("side = 'train'").select("text_key", "words", "n").mapInPandas(stream, schema)
+    return routed.groupBy("shard", "part").cogroup(indexes.groupBy("shard", "part")).applyInPandas(look_up, LINKS)
 
 
-def _read(folder: str, shard: int) -> bytes:
-    """A shard's index from the shared folder, whatever file system that is on."""
-    import pyarrow.dataset as ds
-    from pyarrow import fs
+def class_links(p: DataFrame) -> DataFrame:
+    """(``kind``, ``train_key``, ``eval_key``): ties of classes: ``image`` and ``text`` of equal keys, ``close`` of near texts.
+
+    The rows of a class are those of ``p`` with its key, so a page that is a third of all rows is one class. Written: both uses read it.
+    """
+    t, e = p.where("side = 'train'"), p.where("side = 'eval'")
+    same = lambda key: t.where(F.col(key).isNotNull()).select(F.col(key).alias("k")).distinct().join(e.select(F.col(key).alias("k")).distinct(), "k")
+    kinds = [same(f"{k}_key").select(F.lit(k).alias("kind"), F.col("k").alias("train_key"), F.col("k").alias("eval_key")) for k in ("image", "text")]
+    return written(kinds[0].unionByName(kinds[1]).unionByName(close_texts(p).select(F.lit("close").alias("kind"), "train_key", "eval_key")))
 
-    where, path = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
-    return ds.dataset(f"{path}/shard={shard}", filesystem=where, format="parquet").to_table(columns=["blob"])["blob"][0].as_py()
 
+def salted_join(left: DataFrame, right: DataFrame, key: str, hot: int = HOT) -> DataFrame:
+    """Inner join on ``key``, in which a key of more than ``hot`` rows on a side is dealt to several tasks.
+
+    Such a side's rows are split into groups of about ``hot``, and the other side's rows sent to each. A pair of rows meets in one task.
+    """
+    n = lambda df, name: df.groupBy(key).agg(F.ceil(F.count("*") / hot).cast("int").alias(name))
+    cuts = n(left, "__a").join(n(right, "__b"), key).where("__a > 1 or __b > 1")
+    whole = lambda c: F.coalesce(F.col(c), F.lit(1))
+    own = lambda df, c: F.pmod(F.xxhash64(*df.columns), whole(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), whole(c) - 1))
+    # few keys are hot: Spark broadcasts their list if it is small, and joins by shuffle if not
+    a = left.join(cuts, key, "left").select(*left.columns, own(left, "__a").alias("__x"), every("__b").alias("__y"))
+    b = right.join(cuts, key, "left").select(*right.columns, every("__a").alias("__x"), own(right, "__b").alias("__y"))
+    return a.join(b, [key, "__x", "__y"]).drop("__x", "__y")
 
-def overlaps(p: DataFrame) -> DataFrame:
-    """(``train_row``, ``eval_row``, ``same_image``, ``same_text``, ``close_text``): every pair of rows, once. ``p``: result of ``pages``.
+
+def overlaps(p: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    """(``train_row``, ``eval_row``, ``tie``): every pair of rows, once. ``p``: result of ``pages``; ``tie``: ``image``, ``text`` or ``close``, the first that holds.
 
     Every row of a repeated page counts. Rows without image or text key have no such ties.
     """
-    t, e = p.where("side = 'train'"), p.where("side = 'eval'")
-    near = close_texts(p)
-    tr = lambda key: t.where(F.col(key).isNotNull()).select(F.col("row_id").alias("train_row"), F.col(key).alias("k"))
-    ev = lambda key: e.where(F.col(key).isNotNull()).select(F.col("row_id").alias("eval_row"), F.col(key).alias("k"))
-    flags = lambda i, s, c: (F.lit(i).alias("i"), F.lit(s).alias("s"), F.lit(c).alias("c"))
-    image = tr("image_key").join(ev("image_key"), "k").select("train_row", "eval_row", *flags(1, 0, 0))
-    same = tr("text_key").join(ev("text_key"), "k").select("train_row", "eval_row", *flags(0, 1, 0))
-    by_train = near.join(tr("text_key").withColumnRenamed("k", "train_key"), "train_key")
-    close = by_train.join(ev("text_key").withColumnRenamed("k", "eval_key"), "eval_key").select("train_row", "eval_row", *flags(0, 0, 1))
-    every = image.unionByName(same).unionByName(close)
-    return every.groupBy("train_row", "eval_row").agg(*[(F.max(c) == 1).alias(n) for c, n in (("i", "same_image"), ("s", "same_text"), ("c", "close_text"))])
+    links = class_links(p) if links is None else links
+    row = lambda side, key: p.where((F.col("side") == side) & F.col(f"{key}_key").isNotNull()).select(
+        F.col("row_id").alias(f"{side}_row"), F.col("image_key").alias(f"{side}_image"), F.col(f"{key}_key").alias(f"{side}_key")
+    )
+
+    def pairs(kind: str, key: str) -> DataFrame:
+        tied = links.where(F.col("kind") == kind).select("train_key", "eval_key")
+        t = row("train", key).join(tied, "train_key")
+        both = salted_join(t.select("train_row", "train_image", F.col("eval_key").alias("k")), row("eval", key).withColumnRenamed("eval_key", "k"), "k")
+        # a pair of one image came out by that
+        other = F.lit(True) if kind == "image" else ~F.coalesce(F.col("train_image") == F.col("eval_image"), F.lit(False))
+        return both.where(other).select("train_row", "eval_row", F.lit(kind).alias("tie"))
+
+    return pairs("image", "image").unionByName(pairs("text", "text")).unionByName(pairs("close", "text"))
+
+
+def report(p: DataFrame, groups: list[Column], links: DataFrame | None = None) -> DataFrame:
+    """By ``groups`` of evaluation rows (columns of ``p``): ``rows``, those tied to training, and pairs in all and by kind of tie.
+
+    Pairs are counted from class sizes, never listed: rows times rows of every tie of classes, less those that the image ties as well.
+    """
+    links = class_links(p) if links is None else links
+    names = [f"__g{k}" for k in range(len(groups))]
+    e = p.where("side = 'eval'").select(*[g.alias(n) for g, n in zip(groups, names, strict=True)], "image_key", "text_key")
+    e = e.groupBy(*names, "image_key", "text_key").agg(F.count("*").alias("rows"))
+    t = p.where("side = 'train'").groupBy("image_key", "text_key").agg(F.count("*").alias("times"))
+    tied = {k: links.where(F.col("kind") == k).select("train_key", "eval_key") for k in ("image", "text", "close")}
+
+    def partners(kind: str, key: str) -> DataFrame:
+        """Training rows that each evaluation class is tied to."""
+        per = t.where(F.col(f"{key}_key").isNotNull()).groupBy(F.col(f"{key}_key").alias("train_key")).agg(F.sum("times").alias("times"))
+        return per.join(tied[kind], "train_key").groupBy(F.col("eval_key").alias(f"{key}_key")).agg(F.sum("times").alias(kind))
+
+    def by_image_too(kind: str) -> DataFrame:
+        per = t.where("image_key is not null and text_key is not null").withColumnRenamed("text_key", "train_key").join(tied[kind], "train_key")
+        return per.groupBy("image_key", F.col("eval_key").alias("text_key")).agg(F.sum("times").alias(f"both_{kind}"))
+
+    for kind, key in (("image", "image"), ("text", "text"), ("close", "text")):
+        e = e.join(partners(kind, key), f"{key}_key", "left")
+    for kind in ("text", "close"):
+        e = e.join(by_image_too(kind), ["image_key", "text_key"], "left")
+    n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    pairs = n("image") + n("text") + n("close") - n("both_text") - n("both_close")
+    total = lambda c: F.sum(F.col("rows") * c)
+    return e.groupBy(*names).agg(
+        F.sum("rows").alias("rows"), F.sum(F.when(pairs > 0, F.col("rows")).otherwise(0)).alias("rows_in_train"), total(pairs).alias("pairs"),
+        total(n("image")).alias("same_image"), total(n("text")).alias("same_text"), total(n("close")).alias("close_text"),
+    )

@@ -67,27 +67,28 @@ def p4_shares(spark: SparkSession, d: str) -> DataFrame:
     return s.select("row_id", "s.words", "s.repeated_words", "s.repeated_lines", "s.repeated_sentences", "s.top_run")
 
 
-def _overlaps(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of training rows and rows of val or test."""
-    rows = _pages(spark, d, "row_id", "split", "file_name", "text").where(F.col("split").isin("train", "val", "test"))
+def _compared(spark: SparkSession, d: str, *keep: str) -> DataFrame:
+    """Pages of training and of val or test."""
+    rows = _pages(spark, d, "row_id", "split", "source", "file_name", "text").where(F.col("split").isin("train", "val", "test"))
     side = F.when(F.col("split") == "train", "train").otherwise("eval")
-    return overlap.overlaps(overlap.pages(rows.withColumn("side", side), "row_id", "side", "file_name", "text"))
+    return overlap.pages(rows.withColumn("side", side), "row_id", "side", "file_name", "text", *keep)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Every pair of rows of the same page across training and evaluation."""
-    return _overlaps(spark, d).select(F.least("train_row", "eval_row").alias("row_id_a"), F.greatest("train_row", "eval_row").alias("row_id_b"))
+    return overlap.overlaps(_compared(spark, d)).select(F.least("train_row", "eval_row").alias("row_id_a"), F.greatest("train_row", "eval_row").alias("row_id_b"))
 
 
 def p5_report(spark: SparkSession, d: str) -> DataFrame:
     """Pairs, and evaluation rows with any, per evaluation split and source."""
-    by = _overlaps(spark, d).groupBy("eval_row").agg(
-        F.count("*").alias("pairs"), *[F.sum(F.col(c).cast("int")).alias(c) for c in ("same_image", "same_text", "close_text")]
-    )
-    rows = table(spark, d, "metadata").select(F.col("row_id").alias("eval_row"), "split", F.coalesce(mixing.source_key(F.col("source")), F.lit("unknown")).alias("source"))
-    return rows.where("split in ('val', 'test')").join(by, "eval_row", "left").groupBy("split", "source").agg(
-        F.count("*").alias("rows"), F.count("pairs").alias("rows_in_train"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("pairs", "same_image", "same_text", "close_text")]
-    )
+    source = F.coalesce(mixing.source_key(F.col("source")), F.lit("unknown"))
+    by = overlap.report(_compared(spark, d, "split", "source"), [F.col("split"), source])
+    return by.withColumnsRenamed({"__g0": "split", "__g1": "source"})
+
+
+def p5_links(spark: SparkSession, d: str) -> DataFrame:
+    """Texts of training and evaluation that are almost the same, each once however many copies it has, with words in common."""
+    return overlap.close_texts(_compared(spark, d))
 
 
 def _limits(spark: SparkSession, d: str) -> dict[str, int]:
@@ -147,6 +148,7 @@ QUERIES = {
     "p4_shares": p4_shares,
     "p5_found": p5_found,
     "p5_report": p5_report,
+    "p5_links": p5_links,
     "p6_packed": p6_packed,
     "p6_containers": p6_containers,
     "p7_mixed": p7_mixed,
