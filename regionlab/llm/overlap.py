@@ -13,8 +13,8 @@ order (a longest common subsequence), as read by eye: words come from ``confusab
    (by their signatures) cannot be a pair either. Both are bounds: no pair is lost.
 5. The runs that a candidate shares merge to maximal spans; their words must reach a bound too. The exact length of the common
    subsequence (bit-parallel) decides.
-6. Links of classes are the result of ``class_links``, from which ``report`` counts pairs without listing them. ``overlaps`` lists every
-   pair of rows; hot keys are salted on both sides.
+6. ``class_links`` gives the links of classes, ``report`` counts pairs from class sizes without listing them. ``overlaps`` lists every pair
+   of rows; hot keys are salted on both sides.
 
 Why two words: let c words be common in order, of texts of n and m words. They hold c - 1 pairs of neighbours. Each of the n + m - 2c other
 words parts at most one of them, so 3c - 1 - n - m neighbours stay together in both texts. With c = 3/4 of the longer this is one or more
@@ -41,7 +41,7 @@ from regionlab.session import kept, written
 
 MIN_COMMON = 0.75
 SHARD_WORDS = 1_000_000  # of evaluation texts in an index
-PART_WORDS = 500_000  # of training texts in a task
+PART_WORDS = 1_000_000  # of training texts in a task
 AT_ONCE = 200_000  # words of training texts searched together
 EXPAND = 1_000_000  # hits listed at a time, or those of one query
 SPARE = 4  # runs that a candidate must be seen to share, where so many are due
@@ -340,14 +340,13 @@ def close_texts(p: DataFrame, shard_words: int = SHARD_WORDS, part_words: int =
 
 
 def class_links(p: DataFrame) -> DataFrame:
-    """(``kind``, ``train_key``, ``eval_key``): ties of classes: ``image`` and ``text`` of equal keys, ``close`` of near texts.
+    """(``kind``, ``train_key``, ``eval_key``, ``common``): ties of classes: ``image`` and ``text`` of equal keys, ``close`` of near texts with the words they have in common.
 
-    The rows of a class are those of ``p`` with its key, so a page that is a third of all rows is one class. Written: both uses read it.
+    The rows of a class are those of ``p`` with its key, so a page that is a third of all rows is one class.
     """
-    t, e = p.where("side = 'train'"), p.where("side = 'eval'")
-    same = lambda key: t.where(F.col(key).isNotNull()).select(F.col(key).alias("k")).distinct().join(e.select(F.col(key).alias("k")).distinct(), "k")
-    kinds = [same(f"{k}_key").select(F.lit(k).alias("kind"), F.col("k").alias("train_key"), F.col("k").alias("eval_key")) for k in ("image", "text")]
-    return written(kinds[0].unionByName(kinds[1]).unionByName(close_texts(p).select(F.lit("close").alias("kind"), "train_key", "eval_key")))
+    keys = lambda side, key: p.where((F.col("side") == side) & F.col(key).isNotNull()).select(F.col(key).alias("k")).distinct()
+    same = [keys("train", f"{k}_key").join(keys("eval", f"{k}_key"), "k").select(F.lit(k).alias("kind"), F.col("k").alias("train_key"), F.col("k").alias("eval_key"), F.lit(None).cast("int").alias("common")) for k in ("image", "text")]
+    return same[0].unionByName(same[1]).unionByName(close_texts(p).select(F.lit("close").alias("kind"), "train_key", "eval_key", "common"))
 
 
 def salted_join(left: DataFrame, right: DataFrame, key: str, hot: int = HOT) -> DataFrame:
@@ -366,20 +365,25 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, hot: int = HOT) ->
     return a.join(b, [key, "__x", "__y"]).drop("__x", "__y")
 
 
-def overlaps(p: DataFrame, links: DataFrame | None = None) -> DataFrame:
-    """(``train_row``, ``eval_row``, ``tie``): every pair of rows, once. ``p``: result of ``pages``; ``tie``: ``image``, ``text`` or ``close``, the first that holds.
+def overlaps(p: DataFrame, near: DataFrame | None = None, hot: int = HOT) -> DataFrame:
+    """(``train_row``, ``eval_row``, ``tie``): every pair of rows, once. ``p``: result of ``pages``; ``near``: result of ``close_texts``.
 
-    Every row of a repeated page counts. Rows without image or text key have no such ties.
+    ``tie``: ``image``, ``text`` or ``close``, the first that holds. Every row of a repeated page counts. Rows without image or text key
+    have no such ties.
     """
-    links = class_links(p) if links is None else links
+    near = close_texts(p) if near is None else near
     row = lambda side, key: p.where((F.col("side") == side) & F.col(f"{key}_key").isNotNull()).select(
-        F.col("row_id").alias(f"{side}_row"), F.col("image_key").alias(f"{side}_image"), F.col(f"{key}_key").alias(f"{side}_key")
+        F.col("row_id").alias(f"{side}_row"), F.col("image_key").alias(f"{side}_image"), F.col(f"{key}_key").alias("k")
     )
+    # keys are dealt to several tasks only where one is too large for a task
+    keys = p.select("side", F.explode(F.array(F.concat(F.lit("i"), "image_key"), F.concat(F.lit("t"), "text_key"))).alias("k")).where("k is not null")
+    salted = bool(keys.groupBy("side", "k").agg(F.count("*").alias("c")).where(F.col("c") > hot).head(1))
 
     def pairs(kind: str, key: str) -> DataFrame:
-        tied = links.where(F.col("kind") == kind).select("train_key", "eval_key")
-        t = row("train", key).join(tied, "train_key")
-        both = salted_join(t.select("train_row", "train_image", F.col("eval_key").alias("k")), row("eval", key).withColumnRenamed("eval_key", "k"), "k")
+        t = row("train", key)
+        if kind == "close":
+            t = t.withColumnRenamed("k", "train_key").join(near.select("train_key", F.col("eval_key").alias("k")), "train_key").drop("train_key")
+        both = salted_join(t, row("eval", key), "k", hot) if salted else t.join(row("eval", key), "k")
         # a pair of one image came out by that
         other = F.lit(True) if kind == "image" else ~F.coalesce(F.col("train_image") == F.col("eval_image"), F.lit(False))
         return both.where(other).select("train_row", "eval_row", F.lit(kind).alias("tie"))
@@ -387,31 +391,24 @@ def overlaps(p: DataFrame, links: DataFrame | None = None) -> DataFrame:
     return pairs("image", "image").unionByName(pairs("text", "text")).unionByName(pairs("close", "text"))
 
 
-def report(p: DataFrame, groups: list[Column], links: DataFrame | None = None) -> DataFrame:
+def report(p: DataFrame, groups: list[Column], near: DataFrame | None = None) -> DataFrame:
     """By ``groups`` of evaluation rows (columns of ``p``): ``rows``, those tied to training, and pairs in all and by kind of tie.
 
     Pairs are counted from class sizes, never listed: rows times rows of every tie of classes, less those that the image ties as well.
     """
-    links = class_links(p) if links is None else links
+    near = written(close_texts(p)) if near is None else near
     names = [f"__g{k}" for k in range(len(groups))]
     e = p.where("side = 'eval'").select(*[g.alias(n) for g, n in zip(groups, names, strict=True)], "image_key", "text_key")
     e = e.groupBy(*names, "image_key", "text_key").agg(F.count("*").alias("rows"))
     t = p.where("side = 'train'").groupBy("image_key", "text_key").agg(F.count("*").alias("times"))
-    tied = {k: links.where(F.col("kind") == k).select("train_key", "eval_key") for k in ("image", "text", "close")}
-
-    def partners(kind: str, key: str) -> DataFrame:
-        """Training rows that each evaluation class is tied to."""
-        per = t.where(F.col(f"{key}_key").isNotNull()).groupBy(F.col(f"{key}_key").alias("train_key")).agg(F.sum("times").alias("times"))
-        return per.join(tied[kind], "train_key").groupBy(F.col("eval_key").alias(f"{key}_key")).agg(F.sum("times").alias(kind))
-
-    def by_image_too(kind: str) -> DataFrame:
-        per = t.where("image_key is not null and text_key is not null").withColumnRenamed("text_key", "train_key").join(tied[kind], "train_key")
-        return per.groupBy("image_key", F.col("eval_key").alias("text_key")).agg(F.sum("times").alias(f"both_{kind}"))
-
-    for kind, key in (("image", "image"), ("text", "text"), ("close", "text")):
-        e = e.join(partners(kind, key), f"{key}_key", "left")
-    for kind in ("text", "close"):
-        e = e.join(by_image_too(kind), ["image_key", "text_key"], "left")
+    tied = near.select(F.col("train_key").alias("text_key"), "eval_key")
+    through = lambda df: df.join(tied, "text_key").drop("text_key").withColumnRenamed("eval_key", "text_key")
+    of = lambda df, name, *by: df.where(" and ".join(f"{c} is not null" for c in by)).groupBy(*by).agg(F.sum("times").alias(name))
+    texts, images = of(t, "times", "text_key"), of(t, "image", "image_key")
+    e = e.join(images, "image_key", "left").join(texts.withColumnRenamed("times", "text"), "text_key", "left").join(of(through(texts), "close", "text_key"), "text_key", "left")
+    # the rows that are of one image as well
+    both = of(t, "times", "image_key", "text_key")
+    e = e.join(both.withColumnRenamed("times", "both_text"), ["image_key", "text_key"], "left").join(of(through(both), "both_close", "image_key", "text_key"), ["image_key", "text_key"], "left")
     n = lambda c: F.coalesce(F.col(c), F.lit(0))
     pairs = n("image") + n("text") + n("close") - n("both_text") - n("both_close")
     total = lambda c: F.sum(F.col("rows") * c)

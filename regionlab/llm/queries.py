@@ -87,8 +87,8 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_links(spark: SparkSession, d: str) -> DataFrame:
-    """Texts of training and evaluation that are almost the same, each once however many copies it has, with words in common."""
-    return overlap.close_texts(_compared(spark, d))
+    """Images and texts that training and evaluation share, exactly or almost, each once however many copies it has."""
+    return overlap.class_links(_compared(spark, d))
 
 
 def _limits(spark: SparkSession, d: str) -> dict[str, int]:

@@ -103,14 +103,16 @@ def test_rows(spark):
     df = spark.createDataFrame(rows, "id int, s string, f string, t string").withColumnRenamed("id", "words")
     p = o.pages(df, "words", "s", "f", "t", "words", "t")
     assert p.columns[-2:] == ["kept_words", "kept_t"]
-    links = o.class_links(p)
-    pairs = [(r["train_row"], r["eval_row"], r["tie"]) for r in o.overlaps(p, links).collect()]
+    near = o.written(o.close_texts(p))
+    pairs = [(r["train_row"], r["eval_row"], r["tie"]) for r in o.overlaps(p, near).collect()]
+    assert sorted(pairs) == sorted((r["train_row"], r["eval_row"], r["tie"]) for r in o.overlaps(p, near, hot=2).collect())
     assert sorted(pairs) == [
         (1, 3, "image"), (1, 4, "text"), (1, 5, "close"), (1, 13, "text"), (2, 3, "image"), (8, 9, "text"), (10, 4, "text"), (10, 5, "close"), (10, 13, "image"), (14, 4, "close"), (14, 5, "image"), (14, 13, "close"),
     ]
-    r = o.report(p, [F.lit("x")], links).first()
+    r = o.report(p, [F.lit("x")], near).first()
     # of 3 eval rows each: image 1-3, 2-3, 10-13, 14-5; text 1-4, 10-4, 1-13, 10-13, 8-9; close 1-5, 10-5, 14-4, 14-13, 14-5
     assert tuple(r) == ("x", 8, 5, len(pairs), 4, 5, 5)
+    assert sorted((r["kind"], r["common"]) for r in o.class_links(p).collect()) == [("close", 39), ("close", 39), ("close", 40), ("image", None), ("image", None), ("image", None), ("text", None), ("text", None)]
     assert o.overlaps(o.pages(df.limit(0), "words", "s", "f", "t")).count() == 0
     assert o.report(o.pages(df.limit(0), "words", "s", "f", "t"), [F.lit(1)]).count() == 0
 
