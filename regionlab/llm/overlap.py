@@ -336,6 +336,9 @@ def close_texts(p: DataFrame, shard_words: int = SHARD_WORDS, part_words: int =
             found = list(close_to(Index.load(index["blob"].iloc[0]), texts["text_key"].tolist(), [t.split(" ") for t in texts["words"]], min_common))
         return pd.DataFrame(found, columns=["train_key", "eval_key", "common", "spans", "covered"])
 
+    # a partition for every group, more or less: what one task reads does not grow with the data
+    groups = 4 * sum({no: k for _, no, k in routes}.values())
+    routed, indexes = routed.repartition(groups, "shard", "part"), indexes.repartition(groups, "shard", "part")
     return routed.groupBy("shard", "part").cogroup(indexes.groupBy("shard", "part")).applyInPandas(look_up, LINKS)
 
 
