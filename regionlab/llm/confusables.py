@@ -3,11 +3,15 @@
 *Skeleton*: decompose (NFD), replace every character by the prototype of its look-alikes, decompose again. Two texts look the same if
 their skeletons are equal; a skeleton is a key, not a text to show.
 
-*Canonical text*: the plainest text of the same skeleton: width variants and joined letters spelt out, invisible characters removed,
-every space the usual one, letter and accent composed, and letters of a foreign alphabet within a word replaced by those of the
-word's own. Words wholly in one alphabet stay, as do superscripts, subscripts, fractions and signs.
-
-The prototype table comes from rules over the Unicode character database plus the look-alike groups below; it is filled lazily.
+*Canonical text*: the plainest text of the same skeleton, its prototypes spelt in the alphabet of each word: width and font variants and
+joined letters spelt out, invisible characters removed, every space the usual one, letter and accent composed, and letters of a foreign
+alphabet within a word replaced by those of the word's own. Words wholly in one alphabet stay, as do superscripts, subscripts, fractions
+and signs; small Greek letters beside Latin ones are taken for signs of formulas. A text that differs from its group's canonical text is a
+case: some character of it stands where a plainer one would look the same.
+
+The prototype table comes from rules over the Unicode character database (width, font, ligatures, Roman numerals, invisible signs,
+spaces) plus groups of letters of Latin, Cyrillic, Greek, Armenian, Cherokee and Lisu; it is filled lazily. ``Lookalikes(groups)`` takes
+more groups, ``confusables_file`` those of a file in the format of the public Unicode list.
 Null texts give null; empty texts stay empty; texts are processed whole.
 """
 
@@ -22,12 +26,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Groups of letters that look the same; the first (Latin) one is the prototype of its group.
+# Groups of letters that look the same; the first one is the prototype of its group, Latin where there is one.
 LOOKALIKES = (
-    "aа", "cсϲ", "dԁ", "eе", "hһհ", "iі", "jјϳ", "nո", "oоοօ", "pр", "qԛ", "sѕ", "uս", "wԝ", "xх", "yу", "lӏ",
-    "AАΑ", "BВΒ", "CСϹ", "EЕΕ", "GԌ", "HНΗ", "IІΙӀ", "JЈ", "KКΚ", "MМΜ", "NΝ", "OОΟՕ", "PРΡ", "QԚ", "SЅՏ", "TТΤ", "UՍ",
-    "WԜ", "XХΧ", "YΥҮ", "ZΖ",
+    "aаα", "bᏏ", "cсϲ", "dԁᏧꓒ", "eе", "hһհ", "iіιᎥ", "jјϳ", "nո", "oоοօσ", "pрρ", "qԛ", "sѕ", "uսυ", "vѵν", "wԝ", "xх", "yуγᎩ", "lӏ", "кκ", "тτ",
+    "AАΑᎪꓮ", "BВΒᏴꓐ", "CСϹᏟꓚ", "DᎠꓓ", "EЕΕᎬꓰ", "Fꓝ", "GԌᏀᏳꓖ", "HНΗᎻꓧ", "IІΙӀꓲ", "JЈᎫꓙ", "KКΚᏦꓗ", "LᏞꓡ", "MМΜᎷꓟ", "NΝꓠ", "OОΟՕꓳ", "PРΡᏢꓑ",
+    "QԚ", "RᎡᏒꓣ", "SЅՏᏕᏚꓢ", "TТΤᎢꓔ", "UՍꓴ", "VѴᏙꓦ", "WԜᎳᏔꓪ", "XХΧꓫ", "YΥҮᎽꓬ", "ZΖᏃꓜ",
 )
+# Latin letters that look like plainer ones of their own alphabet.
+VARIANTS = {"ɡ": "g", "ɑ": "a"}
+# Letters of few languages; a word is never spelt with them instead of its other letters.
+RARE = frozenset("ԁһԛԝѵӏԌԚԜѴӀ")
+# small Greek letters that formulas use beside Latin letters
+_FORMULA = frozenset("αγικνρστυ")
 
 # Anything but printable ASCII, line breaks, the letters of the modern Cyrillic block and Ґ ґ, and common signs that stand for themselves
 # needs the full treatment; an acute accent does if it follows no Cyrillic vowel.
@@ -51,13 +61,13 @@ def _plain(ch: str) -> str:
     if cat in ("Zs", "Zl", "Zp"):
         return " "
     parts = unicodedata.decomposition(ch)
-    if parts.startswith(("<wide>", "<narrow>")):
+    if parts.startswith(("<wide>", "<narrow>")) or 0x1D400 <= cp <= 0x1D7FF or (cat == "Nl" and parts.startswith("<compat>")):
         return unicodedata.normalize("NFKC", ch)
     if parts.startswith(("<compat>", "<isolated>", "<initial>", "<medial>", "<final>")) and cat[0] == "L":
         spelt = unicodedata.normalize("NFKC", ch)
         if len(spelt) > 1 and spelt.isalpha():
             return spelt
-    return ch
+    return VARIANTS.get(ch, ch)
 
 
 class _Lazy(dict):
@@ -70,75 +80,110 @@ class _Lazy(dict):
         return out
 
 
-_PROTOTYPE = {x: group[0] for group in LOOKALIKES for x in group[1:]}
-_plain_table = _Lazy(_plain)
-_prototype_table = _Lazy(lambda ch: "".join(_PROTOTYPE.get(c, c) for c in _plain(ch)))
-
-
-def skeleton(text: str | None) -> str | None:
-    if text is None:
-        return None
-    n = unicodedata.normalize
-    return n("NFD", n("NFD", text).translate(_prototype_table))
-
-
 @lru_cache(maxsize=1 << 16)
 def _script(ch: str) -> str:
     return unicodedata.name(ch, "?").split(" ", 1)[0] if ch.isalpha() else ""
 
 
-_SCRIPT_LETTER: dict[tuple[str, str], str] = {}
-for _group in LOOKALIKES:
-    for _x in _group:
-        _SCRIPT_LETTER.setdefault((_group[0], _script(_x)), _x)
-
+_plain_table = _Lazy(_plain)
 
-def _own_alphabet(word: str) -> str:
-    """The word with letters of foreign alphabets replaced by look-alikes of its own, as far as there are any.
 
-    Its own alphabet is the one with most letters that have no look-alike elsewhere, then the one with most letters, then the first.
-    Other alphabets than Latin and Cyrillic need the most letters: a Greek sign beside Latin letters does not make them Greek.
+class Lookalikes:
+    """Skeletons and canonical texts by groups of letters that look the same: ``LOOKALIKES`` and ``groups``."""
+
+    def __init__(self, groups: tuple[str, ...] = ()):
+        self.groups = groups
+        self.prototype: dict[str, str] = {}
+        self.letters: dict[str, dict[str, str]] = {}  # prototype -> alphabet -> its letter
+        for group in (*LOOKALIKES, *groups):
+            first = self.prototype.get(group[0], group[0])
+            for x in group:
+                if x != first:
+                    self.prototype.setdefault(x, first)
+                if x not in RARE:
+                    self.letters.setdefault(first, {}).setdefault(_script(x), x)
+        self._table = _Lazy(lambda ch: "".join(self.prototype.get(c, c) for c in _plain(ch)))
+
+    def __reduce__(self):
+        return Lookalikes, (self.groups,)
+
+    def skeleton(self, text: str | None) -> str | None:
+        if text is None:
+            return None
+        n = unicodedata.normalize
+        return n("NFD", n("NFD", text).translate(self._table))
+
+    def _spelt(self, word: str) -> str:
+        """The word's skeleton in its own alphabet: letters of foreign alphabets give way to those of the same prototype, as far as there are any.
+
+        Its own alphabet is Latin or Cyrillic if the word has letters of these: that with most letters which the other one lacks, then
+        with most letters, then the first. A third alphabet needs more letters than these and one that neither has: a Greek sign beside
+        Latin letters does not make them Greek.
+        """
+        held: dict[str, list[tuple[int, str]]] = {}
+        for i, ch in enumerate(word):
+            if s := _script(ch):
+                base = unicodedata.normalize("NFD", ch)[0]
+                held.setdefault(s, []).append((i, self.prototype.get(base, base)))
+        if len(held) < 2:
+            return word
+        near = {"LATIN", "CYRILLIC"}
+        firm = {s: sum(all(o == s or o not in self.letters.get(p, ()) for o in near) for _, p in found) for s, found in held.items()}
+        most = max((len(held[s]) for s in near & held.keys()), default=0)
+        able = [s for s in held if s in near or (firm[s] and len(held[s]) > most)] or list(held)
+        own = max(able, key=lambda s: (firm[s], len(held[s]), -held[s][0][0]))
+        out = list(word)
+        for s, found in held.items():
+            for i, p in found if s != own else ():
+                if own != "LATIN" or word[i] not in _FORMULA:
+                    d = unicodedata.normalize("NFD", word[i])
+                    out[i] = self.letters.get(p, {}).get(own, d[0]) + d[1:]
+        return unicodedata.normalize("NFC", "".join(out))
+
+    def canonical(self, text: str | None) -> str | None:
+        if not text:
+            return text
+        suspect = _SUSPECT.search(text)
+        if not suspect and not _MIXED.search(text):
+            return text
+        s = unicodedata.normalize("NFC", text.translate(_plain_table)) if suspect else text
+        if not s.isascii():
+            words_ = {w for w in _WORD.findall(s) if not w.isascii()}
+            swaps = {w: o for w in words_ if not _ONE_ALPHABET.fullmatch(w) and (o := self._spelt(w)) != w}
+            if swaps:
+                s = _WORD.sub(lambda m: swaps.get(m[0], m[0]), s)
+        return s
+
+    def plainer(self, text: str | None) -> bool:
+        """Whether the text is not the canonical one of its skeleton group."""
+        return bool(text) and (c := self.canonical(text)) != text and self.skeleton(c) == self.skeleton(text)
+
+    def forms(self, text: str | None) -> tuple[str | None, str | None, bool]:
+        if text is None:
+            return None, None, False
+        k, c = self.skeleton(text), self.canonical(text)
+        return k, c, c != text and self.skeleton(c) == k
+
+
+def confusables_file(path: str) -> tuple[str, ...]:
+    """Groups from a file in the format of the public Unicode list of confusables (``source ; target ; type # comment``, code points in hex).
+
+    Only pairs of single letters of different alphabets are taken: others say that signs or several letters look alike, which no word's
+    alphabet settles.
     """
-    firm: dict[str, list[int]] = {}
-    for i, ch in enumerate(word):
-        if s := _script(ch):
-            score = firm.setdefault(s, [0, 0, -i])
-            base = unicodedata.normalize("NFD", ch)[0]
-            score[0] += (_PROTOTYPE.get(base, base), s) not in _SCRIPT_LETTER
-            score[1] += 1
-    if len(firm) < 2:
-        return word
-    most = max(x[1] for x in firm.values())
-    own = max(firm, key=lambda s: [s in ("LATIN", "CYRILLIC") or firm[s][1] == most, *firm[s]])
     out = []
-    for ch in word:
-        if (s := _script(ch)) and s != own:
-            d = unicodedata.normalize("NFD", ch)
-            out.append(_SCRIPT_LETTER.get((_PROTOTYPE.get(d[0], d[0]), own), d[0]) + d[1:])
-        else:
-            out.append(ch)
-    return unicodedata.normalize("NFC", "".join(out))
+    with open(path, encoding="utf-8-sig") as f:
+        for line in f:
+            parts = [x.strip() for x in line.split("#", 1)[0].split(";")]
+            if len(parts) >= 2 and " " not in parts[0] + parts[1] and parts[0]:
+                a, b = (chr(int(x, 16)) for x in parts[:2])
+                if a.isalpha() and b.isalpha() and _script(a) != _script(b):
+                    out.append(b + a)
+    return tuple(out)
 
 
-def canonical(text: str | None) -> str | None:
-    if not text:
-        return text
-    suspect = _SUSPECT.search(text)
-    if not suspect and not _MIXED.search(text):
-        return text
-    s = unicodedata.normalize("NFC", text.translate(_plain_table)) if suspect else text
-    if not s.isascii():
-        words_ = {w for w in _WORD.findall(s) if not w.isascii()}
-        swaps = {w: o for w in words_ if not _ONE_ALPHABET.fullmatch(w) and (o := _own_alphabet(w)) != w}
-        if swaps:
-            s = _WORD.sub(lambda m: swaps.get(m[0], m[0]), s)
-    return s
-
-
-def has_lookalike(text: str | None) -> bool:
-    """Whether a plainer text of the same skeleton exists."""
-    return bool(text) and (c := canonical(text)) != text and skeleton(c) == skeleton(text)
-
+_DEFAULT = Lookalikes()
+skeleton, canonical, has_lookalike = _DEFAULT.skeleton, _DEFAULT.canonical, _DEFAULT.plainer
 
 _PUNCT_MARKS = re.compile(r"[̀-ͯ]+")
 _TOKEN = re.compile(r"[^\W_]+")
@@ -155,24 +200,22 @@ def words(text: str | None) -> list[str]:
 _FORMS = T.StructType([T.StructField("skeleton", T.StringType()), T.StructField("canonical", T.StringType()), T.StructField("lookalike", T.BooleanType())])
 
 
-@F.pandas_udf(_FORMS)
-def _forms(texts: pd.Series) -> pd.DataFrame:
-    rows = [(skeleton(t), canonical(t), has_lookalike(t)) if t is not None else (None, None, False) for t in texts]
-    return pd.DataFrame(rows, columns=["skeleton", "canonical", "lookalike"])
-
+def forms(text: Column, table: Lookalikes = _DEFAULT) -> Column:
+    """struct(skeleton, canonical, lookalike) of a text column."""
 
-@F.pandas_udf(T.BooleanType())
-def _lookalike(texts: pd.Series) -> pd.Series:
-    return pd.Series([has_lookalike(t) for t in texts], dtype=bool)
+    @F.pandas_udf(_FORMS)
+    def run(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([table.forms(t) for t in texts], columns=["skeleton", "canonical", "lookalike"])
 
+    return run(text)
 
-def forms(text: Column) -> Column:
-    """struct(skeleton, canonical, lookalike) of a text column."""
-    return _forms(text)
 
+def lookalike(text: Column, table: Lookalikes = _DEFAULT) -> Column:
+    @F.pandas_udf(T.BooleanType())
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([table.plainer(t) for t in texts], dtype=bool)
 
-def lookalike(text: Column) -> Column:
-    return _lookalike(text)
+    return run(text)
 
 
 def skeleton_groups(df: DataFrame, id_col: str, text: str = "text") -> DataFrame:

@@ -1,3 +1,4 @@
+import pickle
 import unicodedata
 
 import pytest
@@ -11,6 +12,7 @@ CASES = [
     ("ｗｏｒｄ", "word"), ("ﬁn", "fin"), ("йти", "йти"), ("е́", None), ("сло­во", "слово"), ("a​b", "ab"), ("а б", "а б"), ("а б", "а б"), ("а　б", "а б"),
     ("сoн", "сон"), ("вօда", "вода"), ("лиϲт", "лист"), ("Тaнк", "Танк"), ("tеst", "test"), ("моiї", "моії"), ("cosine", None), ("слово", None), ("x² + y₃ ½ № … — «a»", None),
     ("ΔABC", None), ("αβγ", None), ("км/h", None), ("5-Б", None), ("", None), ("  ", None), ("a\tb\r\nc", None), ("\u212a", "K"),
+    ("розділ Ⅳ", "розділ IV"), ("𝐀b𝟏", "Ab1"), ("ɡood ɑnd", "good and"), ("Ꭺpple", "Apple"), ("ꓑaper", "Paper"), ("ρис", "рис"), ("κіт", "кіт"), ("Αpк", "Арк"), ("јоіnѕ", "joins"), ("ᏣᎳᎩ", None), ("ꓮꓐ", None), ("hν ρgh sinα", None), ("ℝ ∈ ²", None), ("кот", None),
 ]
 
 
@@ -35,10 +37,21 @@ def test_fast_path():
     """Texts passed over quickly give what the full treatment gives."""
     for text in ("б1a слово", "слово x₂ b", "áb", "ѓа", "a2б", "б²a", "абв — «г» x"):
         full = unicodedata.normalize("NFC", text.translate(c._plain_table))
-        full = c._WORD.sub(lambda m: c._own_alphabet(m[0]), full)
+        full = c._WORD.sub(lambda m: c._DEFAULT._spelt(m[0]), full)
         assert c.canonical(text) == full
 
 
+def test_more_groups(tmp_path):
+    """Groups of a file in the public format join the built-in ones; pairs of signs and of several letters are passed over."""
+    path = tmp_path / "confusables.txt"
+    path.write_text("# list\n10D2 ;\t0434 ;\tMA # Georgian don, for the test only\n0031 ;\t006C ;\tMA\n006D ;\t0072 006E ;\tMA\n\n", encoding="utf-8-sig")
+    groups = c.confusables_file(str(path))
+    assert groups == ("дგ",)
+    table = pickle.loads(pickle.dumps(c.Lookalikes(groups)))
+    assert table.canonical("рიგ მoгა რгა") != "" and table.canonical("воგа") == "вода" and c.canonical("воგа") == "воგа"
+    assert table.skeleton("გ") == table.skeleton("д") and table.plainer("воგа") and not table.plainer("вода")
+
+
 def test_words():
     assert c.words("Пе́рше, СЛOВО!\nп'ять") == ["перше", "слово", "п", "ять"]
     assert c.words(None) == c.words("") == c.words("…!") == []
