@@ -11,6 +11,7 @@ from regionlab.functions.text import basename, first_line, without_errors
 from regionlab.operators import cleaning, export, manifest, matching, profile, records, scoring, splits
 from regionlab.session import spread, table
 from regionlab.sql_reference import reference_sql
+from regionlab.sql_scores import SCORES
 
 
 # what a query reads of a region unless it names less; the lines below regions are read by none of these
@@ -367,4 +368,4 @@ QUERIES = {
         submission_export, submission_json, region_order, first_lines, chat_transcribe_samples, chat_messages, chat_detect_samples,
     )
 }
-SQL = reference_sql(GOLDEN, ALIASES)
+SQL = reference_sql(GOLDEN, ALIASES) | SCORES
