@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regionlab.functions.distance import edit_distance
-from regionlab.functions.normalize import bind, normalize_text
+from regionlab.functions.normalize import bind, kind, normalize_text
 from regionlab.operators.matching import greedy_match
 
 WEIGHTS = {"det": 0.15, "cls": 0.05, "cer": 0.30, "page": 0.50}
@@ -103,19 +103,21 @@ def per_page(solution: DataFrame, submission: DataFrame, image: str = "image", t
     both = both.withColumn("__pred", F.coalesce("__pred", F.array().cast(REGIONS)))
     if spread:
         both = both.repartition(spread)
-    m = both.withColumn("__m", greedy_match(F.col("__gt"), F.col("__pred"), threshold))
+    # every text is normalized once, by its own region's type; a matched text once more where its partner's type asks for it
+    whole = lambda r: F.struct(*[r[k].alias(k) for k in ("bbox", "type", "language", "legibility", "text")], normalize_text(r["text"], r["type"]).alias("norm"))
+    m = both.withColumns({"__gt": F.transform("__gt", whole), "__pred": F.transform("__pred", whole), "__m": greedy_match(F.col("__gt"), F.col("__pred"), threshold)})
     gt, pr, ms = F.col("__gt"), F.col("__pred"), F.col("__m")
 
     def region_cer(x: Column) -> Column:
         g, p = F.get(gt, x["gi"]), F.get(pr, x["pi"])
-        norm = lambda t: normalize_text(t, g["type"])
-        return bind(F.struct(norm(g["text"]).alias("g"), norm(p["text"]).alias("p")), lambda s: distance(s["p"], s["g"]) / F.greatest(F.length(s["g"]), F.lit(1)))
+        by_gt = F.when(kind(g["type"]) == kind(p["type"]), p["norm"]).otherwise(normalize_text(p["text"], g["type"]))
+        return bind(F.struct(g["norm"].alias("g"), by_gt.alias("p")), lambda s: distance(s["p"], s["g"]) / F.greatest(F.length(s["g"]), F.lit(1)))
 
     scored = F.filter(ms, lambda x: is_scorable(F.get(gt, x["gi"])))
     dropped = F.transform(F.filter(ms, lambda x: ~is_scorable(F.get(gt, x["gi"]))), lambda x: x["pi"])
-    norm_own = lambda r: normalize_text(r["text"], r["type"])
+    own = lambda r: r["norm"]
     left = F.filter(pr, lambda r, i: ~F.array_contains(dropped, i.cast("int")))
-    m = m.withColumns({"__cers": F.transform(scored, region_cer), "__gt_page": page_text(gt, norm_own), "__pred_page": page_text(left, norm_own)})
+    m = m.withColumns({"__cers": F.transform(scored, region_cer), "__gt_page": page_text(gt, own), "__pred_page": page_text(left, own)})
     n = F.size(ms)
     length = F.length("__gt_page")
     return m.select(
