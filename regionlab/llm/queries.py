@@ -122,9 +122,9 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.reached(*_mix(spark, d))
 
 
-def _mixtures(spark: SparkSession, d: str) -> DataFrame:
+def _mixtures(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
     docs = spread(table(spark, d, "documents").select("doc_id", "text"))
-    return subjects.subject_mixtures(docs, table(spark, d, "doc_labels").select("doc_id", "subject"), table(spark, d, "subjects"))
+    return subjects.subject_mixtures(docs, table(spark, d, "doc_labels").select("doc_id", "subject"), table(spark, d, "subjects"), whole=whole)
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
@@ -132,6 +132,11 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return subjects.subjects_of(_mixtures(spark, d)).select("doc_id", "subject")
 
 
+def p8_mixtures(spark: SparkSession, d: str) -> DataFrame:
+    """The mixture of subjects of every document, by the weights of its row."""
+    return _mixtures(spark, d, whole=True).select("doc_id", "subject", F.round("weight", 4).alias("weight"))
+
+
 def p8_composition(spark: SparkSession, d: str) -> DataFrame:
     """Make-up of the corpus: documents that have a subject, sentences that deal with it and its part of all such sentences."""
     by = _mixtures(spark, d).groupBy("subject").agg(F.sum((F.col("share") >= subjects.MIN_SHARE).cast("long")).alias("documents"), F.sum("sentences").alias("sentences"))
@@ -154,6 +159,7 @@ QUERIES = {
     "p7_mixed": p7_mixed,
     "p7_shares": p7_shares,
     "p8_found": p8_found,
+    "p8_mixtures": p8_mixtures,
     "p8_composition": p8_composition,
 }
 SQL: dict[str, str] = {}

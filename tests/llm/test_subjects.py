@@ -41,6 +41,43 @@ def test_held_out(spark):
     assert right >= 0.95 * 240
 
 
+def test_headings_are_of_no_subject(spark):
+    """A line that heads most documents of one subject and some of the others, which differ in length, is no sentence of it."""
+    rnd = random.Random(7)
+    rows, labels = [], []
+    for i in range(400):
+        x = sorted(OWN)[i % 3]
+        head = "Notebook page\n" if rnd.random() < (0.6 if x == "law" else 0.4) else ""
+        rows.append((i, head + ". ".join(" ".join(rnd.choice(OWN[x] if j % 2 else COMMON) for j in range(6)) for _ in range(4 if x == "sea" else 12))))
+        labels.append((i, x))
+    docs, labelled, named = frames(spark, rows, labels[:200])
+    got = s.subject_mixtures(docs, labelled, named).collect()
+    assert {(r["doc_id"], r["subject"]) for r in got} == set(labels)
+    # a sentence with words and without subject counts in the share
+    assert all(r["share"] == r["sentences"] / (r["sentences"] + (1 if rows[r["doc_id"]][1].startswith("Notebook") else 0)) for r in got)
+
+
+def test_document_weights(spark):
+    rows, truth = corpus(120, 8)
+    docs, labels, named = frames(spark, rows, [(i, x) for i in range(60) for x in truth[i]])
+    weights = {}
+    for r in s.subject_mixtures(docs, labels, named, whole=True).collect():
+        weights.setdefault(r["doc_id"], {})[r["subject"]] = r["weight"]
+    assert all(sum(w.values()) <= 1 + 1e-5 and set(w) == truth[i] for i, w in weights.items()) and len(weights) == 120
+
+
+def test_updates_settle(spark):
+    rows, truth = corpus(200, 9)
+    docs, labels, _ = frames(spark, rows, [(i, x) for i in range(80) for x in truth[i]])
+    matrix = s.term_matrix(docs, "doc_id", "text")
+    start = s.seed(matrix, "doc_id", labels, [x[1] for x in SUBJECTS], ["", "", ""])
+    model = s.factor(matrix, start, sweeps=30)
+    assert model.moved[-1] <= s.SETTLED and len(model.moved) < 30 and model.moved[0] > model.moved[-1]
+    again = s.factor(matrix, start, sweeps=60, settled=1e-6)
+    same = lambda m: {(r[0], r[1]) for r in s.subjects_of(s.mixtures(matrix, "doc_id", m)).collect()}
+    assert len(same(model) ^ same(again)) <= 2
+
+
 def test_edges(spark):
     """Null, empty and wordless texts have no subject; a repeated id, a long text; no labels; no documents."""
     rows, truth = corpus(60, 3)
