@@ -6,8 +6,9 @@ counts, placing whole groups of equal containers at a time. Its result is a list
 apiece, into the containers from c on". Items then take their slots by joining on their rank within their size. The work on the driver
 is bounded by the capacity, never by the number of items.
 
-Ranks within a size are dealt without ever gathering a size in one task: items count by (size, bucket of the id), offsets come from the
-small table of those counts, and only (size, bucket) groups are numbered.
+Ranks within a size are dealt without ever gathering a size in one task: items count by (size, part of the id), offsets come from the
+small table of those counts, and only (size, part) groups are numbered. Slots are joined by size and range of ranks, so an item meets about
+two of them however many slots its size has.
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ from pyspark.sql import functions as F
 
 from regionlab.session import kept, written
 
-BUCKETS = 512  # parts of the items of one size that are numbered apart; a task sorts one part at a time
+PART_ROWS = 100_000  # about as many items of one size are numbered together; a task sorts one such part at a time
+LEAST_PARTS = 64
 
 
 @dataclass(frozen=True)
@@ -81,9 +83,26 @@ def plan(histogram: dict[int, int], capacity: int) -> tuple[list[Slot], int]:
     return slots, opened
 
 
-def ranked(items: DataFrame, id_col: str, size: str, by: list[str]) -> DataFrame:
-    """``items`` with ``rank`` (0-based, in the order of bucket and id) among those of equal ``by`` and ``size``."""
-    b = items.withColumn("__b", F.pmod(F.xxhash64(id_col), F.lit(BUCKETS)).cast("int"))
+def numbered_parts(most: int) -> int:
+    """Parts for the items of one size, by the number of items of the most frequent one."""
+    return max(LEAST_PARTS, -(-most // PART_ROWS))
+
+
+def by_rank(slots: list[Slot], histogram: dict[int, int]) -> tuple[list[tuple[int, int]], list[tuple[int, int, Slot]]]:
+    """((size, width), (size, bucket, slot)): the slots by ranges of ``width`` ranks that they reach into.
+
+    A size has as many ranges as slots, so there are at most twice as many rows as slots, and a rank meets about two of them.
+    """
+    of: dict[int, list[Slot]] = {}
+    for s in slots:
+        of.setdefault(s.size, []).append(s)
+    widths = [(size, -(-histogram[size] // len(held))) for size, held in of.items()]
+    return widths, [(size, b, s) for size, w in widths for s in of[size] for b in range(s.first // w, (s.first + s.count - 1) // w + 1)]
+
+
+def ranked(items: DataFrame, id_col: str, size: str, by: list[str], parts: int) -> DataFrame:
+    """``items`` with ``rank`` (0-based, in the order of part and id) among those of equal ``by`` and ``size``."""
+    b = items.withColumn("__b", F.pmod(F.xxhash64(id_col), F.lit(parts)).cast("int"))
     keys = [*by, size]
     counts = b.groupBy(*keys, "__b").agg(F.count("*").alias("__n"))
     before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
@@ -120,21 +139,25 @@ def pack(sizes: DataFrame, limits: dict[str, int], id_col: str = "doc_id", size:
     histogram: dict[str, dict[int, int]] = {k: {} for k in limits}
     for r in loose.groupBy("limit_name", "rest").agg(F.count("*").alias("n")).collect():
         histogram[r["limit_name"]][r["rest"]] = r["n"]
-    rows, opened = [], {}
+    rows, widths, opened = [], [], {}
     for name, c in limits.items():
         slots, opened[name] = plan(histogram[name], c)
-        rows += [(name, s.size, s.first, s.count, s.container, s.each) for s in slots]
-    schema = "limit_name string, rest int, first bigint, count bigint, start bigint, each bigint"
-    slots = spark.createDataFrame(rows, schema) if rows else spark.createDataFrame([], schema)
-    taken = ranked(loose, id_col, "rest", ["limit_name"]).join(
-        F.broadcast(slots) if len(rows) <= MOST_SLOTS else slots, ["limit_name", "rest"]
-    ).where((F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("count")))
+        wide, reached = by_rank(slots, histogram[name])
+        widths += [(name, size, w) for size, w in wide]
+        rows += [(name, size, b, s.first, s.count, s.container, s.each) for size, b, s in reached]
+    parts = numbered_parts(max((n for h in histogram.values() for n in h.values()), default=0))
+    # a row per size of a limit; then an item joins the slots of its range of ranks
+    of_size = F.broadcast(spark.createDataFrame(widths, "limit_name string, rest int, width bigint"))
+    slots = spark.createDataFrame(rows, "limit_name string, rest int, bucket bigint, first bigint, count bigint, start bigint, each bigint")
+    placed = ranked(loose, id_col, "rest", ["limit_name"], parts).join(of_size, ["limit_name", "rest"]).withColumn("bucket", F.floor(F.col("rank") / F.col("width")))
+    taken = placed.join(F.broadcast(slots) if len(rows) <= MOST_SLOTS else slots, ["limit_name", "rest", "bucket"])
+    taken = taken.where((F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("count")))
     planned = taken.select(
         "limit_name", "capacity", (F.col("start") + F.floor((F.col("rank") - F.col("first")) / F.col("each"))).alias("container"), id_col, "piece", F.col("rest").cast("long").alias("n_tokens")
     )
 
     # full pieces: numbered behind the planned containers, by bucket so that no task holds them all
-    cut = each.where("cuts > 0").withColumn("__b", F.pmod(F.xxhash64(id_col), F.lit(BUCKETS)).cast("int"))
+    cut = each.where("cuts > 0").withColumn("__b", F.pmod(F.xxhash64(id_col), F.lit(parts)).cast("int"))
     per = cut.groupBy("limit_name", "__b").agg(F.sum("cuts").alias("n"))
     before = Window.partitionBy("limit_name").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     start = F.create_map(*[x for k, n in opened.items() for x in (F.lit(k), F.lit(n).cast("long"))])

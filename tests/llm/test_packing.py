@@ -39,6 +39,25 @@ def test_plan(case):
     assert n <= best_fit(sizes, capacity) + 1
 
 
+def test_slots_by_rank():
+    """Every rank finds its one slot in its range, ranges hold about two, and there are at most twice as many rows as slots."""
+    histogram = {k: 1 + (k * 7919) % 5000 for k in range(1, 300)} | {7: 200_000}
+    slots, _ = p.plan(histogram, 300)
+    widths, rows = p.by_rank(slots, histogram)
+    assert len(rows) <= 2 * len(slots)
+    width, held = dict(widths), {}
+    for size, b, s in rows:
+        held.setdefault((size, b), []).append(s)
+    met = items = 0
+    for size, n in histogram.items():
+        for r in range(0, n, 13):
+            found = held[size, r // width[size]]
+            assert sum(s.first <= r < s.first + s.count for s in found) == 1
+            met, items = met + len(found), items + 1
+    assert met / items < 3
+    assert p.numbered_parts(0) == p.LEAST_PARTS and p.numbered_parts(10**10) * p.PART_ROWS >= 10**10
+
+
 def test_plan_refuses():
     with pytest.raises(ValueError):
         p.plan({11: 1}, 10)
