@@ -5,8 +5,8 @@ and the excess is dealt to the others in proportion to their targets, until no s
 of epochs: every document is taken the whole number of times, and a seeded random part of them, in size equal to the fraction, once
 more. Only per-source totals come to the driver.
 
-The fractional part is exact to one document and needs no sort of a source: documents are dealt by a seeded hash to ``SLICES`` slices
-of each source; slices are taken in order as far as they fit, and only the slice in which the line falls is cut by a running sum.
+The fractional part is exact to one document and needs no sort of a source: documents are dealt by a seeded hash to slices of
+each source, ``SLICES`` or more; slices are taken in order as far as they fit, and only the slice in which the line falls is cut by a running sum.
 """
 
 from __future__ import annotations
@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from regionlab.session import kept
 
-SLICES = 4096
+SLICES = 4096  # at least; more where a slice of all documents would hold over SLICE_ROWS of them
+SLICE_ROWS = 100_000
 
 
 @dataclass(frozen=True)
@@ -83,7 +84,8 @@ def mix(sized: DataFrame, targets: DataFrame, id_col: str = "doc_id", total: flo
     out_id = kept([id_col], {"source", "repeats", "n_tokens"})[id_col]
     sized, id_col = sized.select(F.col(id_col).alias("__id"), "source", "n_tokens"), "__id"
     docs = sized.select(id_col, source_key(F.col("source")).alias("source"), "n_tokens").where((F.col("n_tokens") > 0) & F.col("source").isin(list(wanted)))
-    slice_of = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(SLICES)).cast("int")
+    slices = max(SLICES, -(-sized.count() // SLICE_ROWS))
+    slice_of = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(slices)).cast("int")
     docs = docs.withColumn("__slice", slice_of)
     per_slice = docs.groupBy("source", "__slice").agg(F.sum("n_tokens").alias("__n"))
     shares = water_fill(wanted, {r["source"]: r["n"] for r in per_slice.groupBy("source").agg(F.sum("__n").alias("n")).collect()}, total)
