@@ -21,6 +21,7 @@ import re
 import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -44,13 +45,18 @@ _SENTENCE = re.compile(r"[.!?…]+\s+|\n+")
 _TOKEN = re.compile(r"[^\W\d_]{3,}")
 
 
+@lru_cache(maxsize=1 << 18)
+def _bin(word: str) -> int:
+    return zlib.crc32(word.encode()) % BINS
+
+
 def sentence_bins(text: str | None) -> list[list[int]]:
     """The columns of the words of each sentence that has any."""
     if not text:
         return []
     out = []
     for s in _SENTENCE.split(canonical(text).lower()):
-        if w := [zlib.crc32(x.encode()) % BINS for x in _TOKEN.findall(s)]:
+        if w := [_bin(x) for x in _TOKEN.findall(s)]:
             out.append(w)
     return out
 
