@@ -56,21 +56,23 @@ def node_kinds(column: str, dtype: T.DataType, level: int = 1, path: tuple[str,
     return kind
 
 
-def _node_type(root: NodeKind, depth: int, payload: bool) -> T.StructType:
+def _node_type(root: NodeKind, depth: int, payload: bool, ancestors: bool) -> T.StructType:
     fields = [T.StructField("kind", T.StringType()), T.StructField("level", T.IntegerType()), T.StructField("descendants", T.IntegerType())]
     fields += [T.StructField(f"i{k}", T.IntegerType()) for k in range(1, depth + 1)]
     if payload:
         fields += [T.StructField(f"at_{k.level}_{n}", k.payload_type) for n, k in enumerate(root.walk()) if k.scalars]
+    if ancestors:
+        fields += [T.StructField(f"up_{k}", T.IntegerType()) for k in range(1, depth)]
     return T.StructType(fields)
 
 
-def _traverse(array: Column, kind: NodeKind, root: NodeKind, depth: int, payload: bool, node_type: T.StructType, above: list[Column]) -> Column:
+def _traverse(array: Column, kind: NodeKind, root: NodeKind, depth: int, payload: bool, ancestors: bool, node_type: T.StructType, above: list[Column]) -> Column:
     empty = F.array().cast(T.ArrayType(node_type))
     numbered = {k.name: n for n, k in enumerate(root.walk())}
 
     def element(x: Column, i: Column) -> Column:
         at = [*above, i.cast("int")]
-        below = [_traverse(x[c.path[-1]], c, root, depth, payload, node_type, at) for c in kind.children]
+        below = [_traverse(x[c.path[-1]], c, root, depth, payload, ancestors, node_type, at) for c in kind.children]
         below_all = F.concat(*below) if len(below) > 1 else below[0] if below else empty
 
         def own(rest: Column) -> Column:
@@ -81,6 +83,10 @@ def _traverse(array: Column, kind: NodeKind, root: NodeKind, depth: int, payload
                     if k.scalars:
                         same = numbered[k.name] == numbered[kind.name]
                         parts.append(F.struct(*[x[f.name].alias(f.name) for f in k.scalars]) if same else F.lit(None).cast(k.payload_type))
+            if ancestors:
+                parts += [F.lit(None).cast("int")] * (depth - 1)
+                # every descendant learns how far before it its ancestor of this level stands
+                rest = F.transform(rest, lambda d, k: d.withField(f"up_{kind.level}", k.cast("int") + 1)) if kind.children else rest
             named = F.struct(*[p.alias(f.name) for p, f in zip(parts, node_type.fields, strict=True)])
             return F.concat(F.array(named), rest)
 
@@ -91,12 +97,13 @@ def _traverse(array: Column, kind: NodeKind, root: NodeKind, depth: int, payload
     return F.coalesce(F.flatten(F.transform(array, element)), empty)
 
 
-def interval_nodes(df: DataFrame, column: str, keep: list[str], payload: bool = True) -> DataFrame:
+def interval_nodes(df: DataFrame, column: str, keep: list[str], payload: bool = True, ancestors: bool = False) -> DataFrame:
     """All nodes below ``column``, one row each.
 
     Columns: ``keep`` (of the record), then ``node_kind``, ``node_level`` (1 for the elements of ``column``), ``node_pre``,
     ``node_post``, ``node_last`` (the pre-order number of its last descendant), ``idx_1..idx_depth`` (0-based array positions, null
-    elements counted, -1 below the node's own level) and, with ``payload``, one struct ``at_<level>_<n>`` per node kind.
+    elements counted, -1 below the node's own level) and, with ``payload``, one struct ``at_<level>_<n>`` per node kind. With
+    ``ancestors``, ``ancestor_1 ..`` are the pre-order numbers of the nodes of higher levels whose intervals hold the node, else null.
 
     Null records (a null array), null elements and empty arrays give no node; what lies below a null element does not exist.
     Positions still count null elements. Records that occur twice give their nodes twice. A column of ``keep`` that bears the name of a
@@ -104,11 +111,11 @@ def interval_nodes(df: DataFrame, column: str, keep: list[str], payload: bool =
     """
     root = node_kinds(column, df.schema[column].dataType)
     depth = max(k.level for k in root.walk())
-    node_type = _node_type(root, depth, payload)
+    node_type = _node_type(root, depth, payload, ancestors)
     made = ["node_kind", "node_level", "node_pre", "node_post", "node_last"] + [f"idx_{k}" for k in range(1, depth + 1)]
-    made += [f.name for f in node_type.fields if f.name.startswith("at_")]
+    made += [f.name for f in node_type.fields if f.name.startswith("at_")] + [f"ancestor_{k}" for k in range(1, depth)]
     carried = [F.col(f"`{k}`").alias(n) for k, n in kept(keep, {*made, "__pos", "__node"}).items()]
-    nodes = _traverse(F.col(f"`{column}`"), root, root, depth, payload, node_type, [])
+    nodes = _traverse(F.col(f"`{column}`"), root, root, depth, payload, ancestors, node_type, [])
     flat = df.select(*carried, F.posexplode(nodes).alias("__pos", "__node"))
     pre = F.col("__pos") + 1
     n = F.col("__node")
@@ -119,6 +126,8 @@ def interval_nodes(df: DataFrame, column: str, keep: list[str], payload: bool =
     out += [n[f"i{k}"].alias(f"idx_{k}") for k in range(1, depth + 1)]
     if payload:
         out += [n[f.name].alias(f.name) for f in node_type.fields if f.name.startswith("at_")]
+    if ancestors:
+        out += [(pre - n[f"up_{k}"]).alias(f"ancestor_{k}") for k in range(1, depth)]
     return flat.select(*[c for c in flat.columns if c not in ("__pos", "__node")], *out)
 
 
@@ -142,17 +151,18 @@ def node_tables(df: DataFrame, column: str, keep: list[str]) -> dict[str, DataFr
     return tables
 
 
-def contained(ancestors: DataFrame, descendants: DataFrame, record: str) -> DataFrame:
-    """(``record``, ``ancestor_pre``, ``ancestor_level``, ``node_pre``, ``node_level``): pairs where the first interval holds the second.
+def contained(nodes: DataFrame, *record: str) -> DataFrame:
+    """(``record``, ``ancestor_pre``, ``ancestor_level``, ``node_pre``, ``node_level``): a row for every node and node whose interval holds it.
 
-    An equi-join on the record with the interval containment as residual, so one record's tree never leaves its partition.
+    ``nodes``: result of ``interval_nodes`` with ``ancestors``. A node has one ancestor a level, so the rows are as many as the nodes times
+    their levels, and come out where the nodes are.
     """
-    a = ancestors.select(F.col(record), F.col("node_pre").alias("ancestor_pre"), F.col("node_last").alias("ancestor_last"), F.col("node_level").alias("ancestor_level"))
-    d = descendants.select(F.col(record), "node_pre", "node_level")
-    held = (F.col("node_pre") > F.col("ancestor_pre")) & (F.col("node_pre") <= F.col("ancestor_last"))
-    return a.join(d, record).where(held).select(record, "ancestor_pre", "ancestor_level", "node_pre", "node_level")
+    levels = [c for c in nodes.columns if c.startswith("ancestor_")]
+    held = F.array(*[F.struct(F.col(c).alias("pre"), F.lit(int(c.removeprefix("ancestor_"))).alias("level")) for c in levels])
+    each = nodes.select(*[F.col(f"`{c}`") for c in record], F.explode(F.filter(held, lambda a: a["pre"].isNotNull())).alias("a"), "node_pre", "node_level")
+    return each.select(*[F.col(f"`{c}`") for c in record], F.col("a.pre").alias("ancestor_pre"), F.col("a.level").alias("ancestor_level"), "node_pre", "node_level")
 
 
-def parents(ancestors: DataFrame, descendants: DataFrame, record: str) -> DataFrame:
+def parents(nodes: DataFrame, *record: str) -> DataFrame:
     """Those pairs of ``contained`` that are parent and child (adjacent levels)."""
-    return contained(ancestors, descendants, record).where(F.col("node_level") == F.col("ancestor_level") + 1)
+    return contained(nodes, *record).where(F.col("node_level") == F.col("ancestor_level") + 1)

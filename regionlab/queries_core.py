@@ -75,11 +75,9 @@ def _p3_table(kind: str):
 
 
 def p3_links(spark: SparkSession, d: str) -> DataFrame:
-    """Children of every line, counted by interval containment."""
-    nodes = nested.interval_nodes(table(spark, d, "metadata").select("row_id", "regions"), "regions", ["row_id"], payload=False)
-    lines = nodes.where("node_kind = 'regions.lines'")
-    words = nodes.where("node_kind = 'regions.lines.words'")
-    return nested.parents(lines, words, "row_id").groupBy("row_id", F.col("ancestor_pre").alias("line_pre")).agg(F.count("*").alias("words"))
+    """Every node below a region with its parent: line and region, word and line, alternative and word."""
+    nodes = nested.interval_nodes(table(spark, d, "metadata").select("row_id", "regions"), "regions", ["row_id"], payload=False, ancestors=True)
+    return nested.parents(nodes, "row_id").select("row_id", F.col("ancestor_pre").alias("parent_pre"), "node_pre", "node_level")
 
 
 QUERIES = {
@@ -123,6 +121,6 @@ FROM t JOIN ({_L}) s ON t.row_id = s.row_id AND t.region_idx = s.ri AND t.line_i
 FROM t JOIN ({_W}) s ON t.row_id = s.row_id AND t.region_idx = s.ri AND t.line_idx = s.li AND t.word_idx = s.wi WHERE lvl = 3""",
     "p3_alternatives": f"""{_LABELS} SELECT t.row_id, s.file_name, node_pre, node_post, node_last, region_idx, line_idx, word_idx, alt_idx, a.text AS "text", a.score AS score
 FROM t JOIN ({_A}) s ON t.row_id = s.row_id AND t.region_idx = s.ri AND t.line_idx = s.li AND t.word_idx = s.wi AND t.alt_idx = s.ai WHERE lvl = 4""",
-    "p3_links": f"""{_LABELS} SELECT l.row_id, l.node_pre AS line_pre, count(*) AS words FROM t l JOIN t w ON l.row_id = w.row_id AND l.region_idx = w.region_idx AND l.line_idx = w.line_idx
-WHERE l.lvl = 2 AND w.lvl = 3 GROUP BY 1, 2""",
+    "p3_links": f"""{_LABELS} SELECT c.row_id, p.node_pre AS parent_pre, c.node_pre, c.lvl::INT AS node_level FROM t c JOIN t p ON c.row_id = p.row_id AND c.region_idx = p.region_idx AND p.lvl = c.lvl - 1
+WHERE (p.lvl < 2 OR p.line_idx = c.line_idx) AND (p.lvl < 3 OR p.word_idx = c.word_idx)""",
 }

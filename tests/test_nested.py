@@ -49,11 +49,17 @@ def test_clashing_names(nodes, spark):
     assert {(r["idx_1"], r["text"], r["regions_node_pre"], r["kept_node_pre"]) for r in t["regions"].where("row_id = 1").collect()} == {(0, "a", 1, 7), (2, "b", 2, 7), (3, None, None, 7)}
 
 
-def test_links(nodes):
-    got = nested.parents(nodes.where("node_kind = 'regions'"), nodes.where("node_kind = 'regions.lines'"), "row_id").where("row_id = 1")
-    assert {(r["ancestor_pre"], r["node_pre"]) for r in got.collect()} == {(1, 2), (1, 5)}
-    held = nested.contained(nodes.where("node_kind = 'regions'"), nodes.where("node_kind = 'regions.lines.words'"), "row_id")
-    assert {(r["ancestor_pre"], r["node_pre"]) for r in held.collect()} == {(1, 3), (1, 4)}
+def test_links(spark):
+    """Links are exactly the pairs of intervals of a record of which one holds the other."""
+    nodes = nested.interval_nodes(spark.createDataFrame(ROWS, SCHEMA), "regions", ["row_id"], ancestors=True)
+    got = {(r["row_id"], r["ancestor_pre"], r["ancestor_level"], r["node_pre"], r["node_level"]) for r in nested.contained(nodes, "row_id").collect()}
+    rows = nodes.collect()
+    assert got == {
+        (a["row_id"], a["node_pre"], a["node_level"], b["node_pre"], b["node_level"])
+        for a in rows for b in rows if a["row_id"] == b["row_id"] and a["node_pre"] < b["node_pre"] <= a["node_last"]
+    }
+    assert nested.contained(nodes, "row_id").count() == len(got) == 8
+    assert {(r["row_id"], r["ancestor_pre"], r["node_pre"]) for r in nested.parents(nodes, "row_id").collect()} == {(1, 1, 2), (1, 2, 3), (1, 2, 4), (1, 1, 5), (1, 1, 6), (None, 1, 2)}
 
 
 def test_empty_and_large(spark):
