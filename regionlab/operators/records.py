@@ -21,11 +21,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from regionlab.session import kept
+from regionlab.session import kept, written
 
 # The region types a submission may name.
 REGION_TYPES = ("handwritten", "printed", "formula", "table", "annotation", "image", "graph")
@@ -134,13 +134,83 @@ def _value(text: str, at: int) -> tuple[object, int]:
     except json.JSONDecodeError as e:
         raise Unfit("invalid_value", "regions", e.pos, e.msg) from None
     except RecursionError:
-        raise Unfit("invalid_value", "regions", at, "nested too deeply") from None
+        return _deep_value(text, at)
     except ValueError as e:
         if "Exceeds" in str(e):
             return _scan_long(text, at)
         raise Unfit("invalid_value", "regions", at, str(e)) from None
 
 
+_SCALAR = re.compile(r'"(?:[^"\\\x00-\x1f]|\\.)*"|-?[0-9]|true|false|null')
+
+
+def _deep_value(text: str, at: int) -> tuple[object, int]:
+    """``_value`` of what nests deeper than the parser's stack: the open lists and objects are kept in a list."""
+    open_: list[list | dict] = []
+    names: list[str | None] = []  # of the member being read in each open object
+
+    def missing(where: int, what: str) -> Unfit:
+        return Unfit("invalid_value", "regions", where, what)
+
+    def name_at(i: int) -> tuple[str, int]:
+        m = _SCALAR.match(text, i)
+        if not m or m[0][0] != '"':
+            raise missing(i, "a member's name is missing")
+        try:
+            name, i = _scan(text, i)
+        except ValueError as e:
+            raise missing(i, str(e)) from None
+        i = _WS.match(text, i).end()
+        if not text.startswith(":", i):
+            raise missing(i, "a colon is missing")
+        return name, _WS.match(text, i + 1).end()
+
+    while True:
+        c = text[at : at + 1]
+        if c in ("[", "{") and c:
+            inside = _WS.match(text, at + 1).end()
+            value: object = [] if c == "[" else {}
+            if not text.startswith("]" if c == "[" else "}", inside):
+                open_.append(value)  # type: ignore[arg-type]
+                name, at = (None, inside) if c == "[" else name_at(inside)
+                names.append(name)
+                continue
+            at = inside + 1
+        elif _SCALAR.match(text, at):
+            try:
+                value, at = _scan(text, at)
+            except (StopIteration, ValueError) as e:
+                raise missing(at, str(e) or "a JSON value is missing") from None
+        else:
+            raise missing(at, "a JSON value is missing")
+        while True:  # a whole value: into what holds it, which may be whole then itself
+            if not open_:
+                return value, at
+            holder = open_[-1]
+            if isinstance(holder, list):
+                holder.append(value)
+            else:
+                holder[names[-1]] = value
+            at = _WS.match(text, at).end()
+            if text.startswith(",", at):
+                at = _WS.match(text, at + 1).end()
+                if isinstance(holder, dict):
+                    names[-1], at = name_at(at)
+                break
+            if not text.startswith("]" if isinstance(holder, list) else "}", at):
+                raise missing(at, "a comma or an end is missing")
+            value, at = open_.pop(), at + 1
+            names.pop()
+
+
+def _json(value: object) -> str:
+    """JSON of a member that is no string; of one that nests deeper than the writer's stack only its kind."""
+    try:
+        return json.dumps(value, ensure_ascii=False)
+    except RecursionError:
+        return "[...]" if isinstance(value, list) else "{...}"
+
+
 def _is_number(x: object) -> bool:
     return isinstance(x, (int, float)) and not isinstance(x, bool)
 
@@ -157,8 +227,8 @@ def _region(value: object, at: int, types: tuple[str, ...] | None = REGION_TYPES
     kind = value.get("type")
     if types is not None and "type" in value and not (isinstance(kind, str) and kind in types):
         raise Unfit("invalid_value", "regions", at, f"type is not a known one: {str(kind)[:40]}")
-    text = {k: v if v is None or isinstance(v, str) else json.dumps(v, ensure_ascii=False) for k in ("language", "legibility", "text") for v in [value.get(k)]}
-    return {"bbox": [_double(x) for x in box], "type": kind if kind is None or isinstance(kind, str) else json.dumps(kind)} | text
+    text = {k: v if v is None or isinstance(v, str) else _json(v) for k in ("language", "legibility", "text") for v in [value.get(k)]}
+    return {"bbox": [_double(x) for x in box], "type": kind if kind is None or isinstance(kind, str) else _json(kind)} | text
 
 
 def _double(x: int | float) -> float:
@@ -291,28 +361,87 @@ def load(df: DataFrame, parsed: Column, *keep: str) -> tuple[DataFrame, DataFram
     return fit, unfit
 
 
-FILE_RECORD = "path string, record_no int, start int, stop int, image string, regions array<struct<bbox array<double>, type string, language string, legibility string, text string>>, reason string, error_at int, error_message string"
+PIECE = "path string, block bigint, piece int, kind string, text string"
+ROWS_AT_ONCE = 10_000
 
 
-def load_files(files: DataFrame) -> DataFrame:
-    """Records of whole submission files (columns ``path`` and ``text``, e.g. of ``spark.read.text(wholetext=True)``).
+def _starts_record(text: str, at: int) -> bool:
+    """Whether a validated record start lies at ``at``."""
+    if not _ANCHOR.match("\n" + text[at : at + 64]):
+        return False
+    try:
+        _csv_record(text, at)
+        return True
+    except Unfit:
+        return False
 
-    Broken quotes swallow nothing beyond the next validated record start. A file is read by one task: split deliveries into files
-    that fit a task. Empty files give no row; the header ``image,regions`` of a file's first record is skipped.
-    """
 
-    def run(batches):
+def cut_block(text: str, first: bool) -> Iterator[tuple[str, str]]:
+    """(kind, text) of the pieces of a block of whole lines: ``head``, what lies before its first validated record start; ``record``;
+    ``tail``, a broken last one that may end in the next block. A block without a record start is one piece, ``all``. The first block of a
+    file has no head; that of any other may be empty.
+    """
+    at = 0
+    if not first:
+        at = 0 if _starts_record(text, 0) else next((m.end() for m in _ANCHOR.finditer(text) if _starts_record(text, m.end())), -1)
+        if at < 0:
+            yield "all", text
+            return
+        yield "head", text[:at]
+    for r in parse_records(text[at:] if at else text):
+        open_ended = r.error is not None and at + r.end == len(text)
+        yield "tail" if open_ended else "record", text[at + r.start : at + r.end]
+
+
+def load_path(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(fit, unfit) records of submission files of any size: ``load`` with ``path``, ``block`` (where the record's block begins) and ``piece``.
+
+    Files are read in Spark's blocks of whole lines, each by a task of its own. What a block cannot tell, the lines before its first
+    validated record start and a broken record at its end, meets the neighbouring blocks' in a second step: a piece or two a block. A
+    line that looks like a record start and reads as one is taken for one there, also inside a quoted field that began a block earlier.
+    Empty files give no row; a header ``image,regions`` is no record.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select("_metadata.file_path", "_metadata.file_block_start", "value")
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def pieces(name: str, block: int, held: list[str]) -> Iterator[pd.DataFrame]:
+            rows: list[tuple] = []
+            for n, (kind, text) in enumerate(cut_block("\n".join(held) + "\n", block == 0)):
+                rows.append((name, block, n, kind, text))
+                if len(rows) == ROWS_AT_ONCE:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows = []
+            yield pd.DataFrame(rows, columns=names)
+
+        names = ["path", "block", "piece", "kind", "text"]
+        at: tuple[str, int] | None = None
+        held: list[str] = []
         for pdf in batches:
-            rows = []
-            for path, text in zip(pdf["path"], pdf["text"], strict=True):
-                for n, r in enumerate(parse_records(text or "")):
-                    if n == 0 and r.fields == ["image", "regions"]:
-                        continue
-                    image, good, bad = (None, [], [r.error]) if r.error else parse_line(text[r.start : r.end])
-                    e = bad[0] if bad else (None, None, None, None)
-                    rows.append((path, n, r.start, r.end, image, None if bad else good, e[0], e[2], e[3]))
-            out = pd.DataFrame(rows, columns=["path", "record_no", "start", "stop", "image", "regions", "reason", "error_at", "error_message"])
-            out["error_at"] = out["error_at"].astype("Int32")
-            yield out
-
-    return files.select("path", "text").mapInPandas(run, FILE_RECORD)
+            # the lines of a block come one after another
+            for key, part in pdf.groupby(["file_path", "file_block_start"], sort=False):
+                if at is not None and key != at:
+                    yield from pieces(*at, held)
+                    held = []
+                at = key
+                held += part["value"].tolist()
+        if at is not None:
+            yield from pieces(*at, held)
+
+    def stitch(pdf: pd.DataFrame) -> pd.DataFrame:
+        done: list[tuple[int, int, str]] = []
+        held: list[tuple[int, int, str]] = []  # consecutive pieces of which none was known to end a record
+        for r in pdf.sort_values(["block", "piece"]).itertuples():
+            held.append((r.block, r.piece, r.text))
+            if r.kind == "head":
+                done.append((*held[0][:2], "".join(t for _, _, t in held)))
+                held = []
+        if held:
+            done.append((*held[0][:2], "".join(t for _, _, t in held)))
+        out = [(b, n, "record", t[x.start : x.end]) for b, n, t in done for x in parse_records(t)]
+        return pd.DataFrame([(pdf["path"].iloc[0], *x) for x in out], columns=["path", "block", "piece", "kind", "text"])
+
+    made = lines.mapInPandas(cut, PIECE)
+    # read twice, by what is whole and by what is not
+    made = written(made)
+    whole = made.where("kind = 'record'").unionByName(made.where("kind <> 'record'").groupBy("path").applyInPandas(stitch, PIECE))
+    return load(whole.where("text not in ('image,regions', 'image,regions\\r', '')"), parsed_line(F.col("text")), "path", "block", "piece")

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regionlab.operators import nested, records
-from regionlab.session import spread, table
-from regionlab.sql_reference import P2_FOUND
+from regionlab.session import shared_folder, spread, table, until_exit
+from regionlab.sql_reference import P2_FILES, P2_FOUND, P2_LOADED
 
 
 def _raw(spark: SparkSession, d: str) -> DataFrame:
@@ -52,6 +52,16 @@ def p2_errors(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p2_files(spark: SparkSession, d: str) -> DataFrame:
+    """The records written to submission files, broken quotes and all, and loaded from them: fit ones by image and number of regions."""
+    folder = shared_folder(spark, "submissions")
+    lines = _raw(spark, d).where("line is not null").select(F.regexp_replace("line", r"[\r\n]+\z", "").alias("value"))
+    lines.write.text(folder)
+    until_exit(spark, folder)
+    fit, _ = records.load_path(spark, folder)
+    return fit.groupBy("image", F.size("regions").alias("regions")).agg(F.count("*").alias("records"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """One row for every non-null region, line, word and alternative."""
     nodes = nested.interval_nodes(table(spark, d, "metadata").select("row_id", "regions"), "regions", ["row_id"], payload=False)
@@ -84,6 +94,7 @@ QUERIES = {
     "p2_found": p2_found,
     "p2_loaded": p2_loaded,
     "p2_errors": p2_errors,
+    "p2_files": p2_files,
     "p3_found": p3_found,
     "p3_regions": _p3_table("regions"),
     "p3_lines": _p3_table("regions.lines"),
@@ -112,6 +123,8 @@ _BOX = "array_to_string(list_transform({0}, lambda x: coalesce(x::VARCHAR, 'null
 
 SQL = {
     "p2_found": P2_FOUND,
+    "p2_loaded": P2_LOADED,
+    "p2_files": P2_FILES,
     "p3_found": _ALL,
     "p3_regions": f"""{_LABELS} SELECT t.row_id, s.file_name, node_pre, node_post, node_last, region_idx, {_BOX.format("r.bbox")} AS bbox, r.type AS "type", r.language AS language, r.legibility AS legibility, r.text AS "text"
 FROM t JOIN ({_R}) s ON t.row_id = s.row_id AND t.region_idx = s.ri WHERE lvl = 1""",

@@ -30,16 +30,25 @@ def _image_ok(c: str) -> str:
 
 
 _FIELD = r"""("([^"]|"")*"|[^",\r\n]*)"""
-P2_FOUND = f"""WITH r AS (SELECT line_id, line, coalesce(regexp_full_match(line, '{_FIELD}(,{_FIELD})*(\\r\\n|\\n|\\r)?'), false) AS good FROM submission_raw),
+_FIELDS = f"""WITH r AS (SELECT line_id, line, coalesce(regexp_full_match(line, '{_FIELD}(,{_FIELD})*(\\r\\n|\\n|\\r)?'), false) AS good FROM submission_raw),
 f AS (SELECT line_id, line, good, CASE WHEN good THEN length(bare) - length(replace(bare, ',', '')) + 1 END AS n FROM (SELECT *, regexp_replace(line, '"([^"]|"")*"', '', 'g') AS bare FROM r)),
 s AS (SELECT line_id, good, n, line, regexp_extract(line, '^{_FIELD}', 1) AS a FROM f),
 t AS (SELECT line_id, line, good, n, CASE WHEN a LIKE '"%' THEN replace(a[2:-2], '""', '"') ELSE a END AS image, line[length(a) + 2:] AS b FROM s),
-u AS (SELECT line_id, line, good, n, image, CASE WHEN b LIKE '"%' THEN replace(regexp_extract(b, '(?s)^"(.*)"', 1), '""', '"') ELSE b END AS regions FROM t)
+u AS (SELECT line_id, line, good, n, image, CASE WHEN b LIKE '"%' THEN replace(regexp_extract(b, '(?s)^"(.*)"', 1), '""', '"') ELSE b END AS regions FROM t)"""
+P2_FOUND = f"""{_FIELDS}
 SELECT 'submission_raw' AS src_table, line_id AS rec_id, CASE WHEN line IS NULL THEN 'column_count' WHEN NOT good THEN 'quoting' WHEN n <> 2 THEN 'column_count' ELSE 'invalid_value' END AS reason
 FROM u WHERE line IS NULL OR NOT good OR n <> 2 OR NOT ({_image_ok("image")} AND {_regions_ok("regions")})
 UNION ALL SELECT 'sample_submission', row_id, 'invalid_value' FROM sample_submission WHERE NOT ({_image_ok("image")} AND {_regions_ok("regions")})"""
 
 _TYPED = """'[{"bbox":["DOUBLE"],"type":"VARCHAR","language":"VARCHAR","legibility":"VARCHAR","text":"VARCHAR"}]'"""
+# the fit records of both tables, and their regions
+_FIT_RAW = f"SELECT 'submission_raw' AS src_table, line_id AS rec_id, image, trim(regions, chr(13) || chr(10)) AS regions FROM u WHERE coalesce(good AND n = 2, false) AND {_image_ok('image')} AND {_regions_ok('regions')}"
+_FIT = f"""{_FIT_RAW} UNION ALL SELECT 'sample_submission', row_id, image, regions FROM sample_submission WHERE {_image_ok('image')} AND {_regions_ok('regions')}"""
+_LISTED = f"CASE WHEN regions IS NULL OR regions = '' THEN [] ELSE from_json(regions, {_TYPED}) END"
+P2_LOADED = f"""{_FIELDS}, v AS (SELECT src_table, rec_id, image, {_LISTED} AS rs FROM ({_FIT})),
+x AS (SELECT src_table, rec_id, image, i::INT AS region_idx, rs[i + 1] AS r FROM (SELECT *, unnest(range(len(rs))) AS i FROM v) UNION ALL SELECT src_table, rec_id, image, NULL, NULL FROM v WHERE len(rs) = 0)
+SELECT src_table, rec_id, image, region_idx, r.bbox[1] AS x1, r.bbox[2] AS y1, r.bbox[3] AS x2, r.bbox[4] AS y2, r.type AS "type", r.text AS "text" FROM x"""
+P2_FILES = f"""{_FIELDS} SELECT image, len({_LISTED})::INT AS regions, count(*) AS records FROM ({_FIT_RAW}) GROUP BY 1, 2"""
 _PRED = f"""(SELECT image, CASE WHEN regions IS NULL OR regions = '' THEN [] ELSE from_json(regions, {_TYPED}) END AS pred
 FROM (SELECT *, row_number() OVER (PARTITION BY image ORDER BY row_id DESC) AS k FROM sample_submission WHERE {_image_ok("image")} AND {_regions_ok("regions")}) WHERE k = 1)"""
 _GT = f"""(SELECT row_id, {_NAME} AS image, list_filter(list_filter(coalesce(regions, []), lambda r: r IS NOT NULL), lambda r: {_OK_BOX.replace("bbox", "r.bbox")}) AS gt

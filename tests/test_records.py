@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from hypothesis import given, settings
@@ -47,7 +48,7 @@ VALUES = [
     ('[{"bbox":[1,2,3,4],"bbox":[1]}]', False), ("[1]", False), ("[[]]", False), ("[{}]", False), ('[{"bbox":[1,2,3]}]', False), ('[{"bbox":[1,2,3,"4"]}]', False), ('[{"bbox":[1,2,3,true]}]', False),
     ('[{"bbox":[1,2,3,NaN]}]', False), (f"[{BOX},]", False), (f"[{BOX}", False), (f"[{BOX}] x", False), (f"[{BOX}{BOX}]", False), ('[{"bbox":[1,2,3,4],"type":"figure"}]', False),
     ('[{"bbox":[1,2,3,4],"type":null}]', False), ("[{'bbox':[1,2,3,4]}]", False), ('[{"bbox":[1,2,3,4],"text":"a\nb"}]', False), (" []", False), ("﻿[]", False),
-    ('[{"bbox":[1,2,3,' + "9" * 5000 + "]}]", True), ("[" * 100_000, False), ('[{"bbox":[1,2,3,4],"x":' + "[" * 50_000 + "]" * 50_000 + "}]", False),
+    ('[{"bbox":[1,2,3,' + "9" * 5000 + "]}]", True), ("[" * 100_000, False), ('[{"bbox":[1,2,3,4],"x":' + "[" * 50_000 + "]" * 50_000 + "}]", True),
 ]
 
 
@@ -114,10 +115,61 @@ def test_load(spark):
     assert fit.count() == unfit.count() == 0
 
 
-def test_load_files(spark):
-    df = spark.createDataFrame([("a", f'image,regions\n{ID},"[{BOX}\n{csv(ID, f"[{BOX}]")}'), ("b", ""), ("c", None)], "path string, text string")
-    got = [(r["path"], r["reason"], r["regions"] and len(r["regions"])) for r in records.load_files(df).orderBy("path", "start").collect()]
-    assert got == [("a", "quoting", None), ("a", None, 1)]
+def test_load_path(spark, tmp_path):
+    """Files cut into many blocks give the records of a parser that reads them from end to end: broken quotes, line breaks in fields, long records."""
+    rnd = random.Random(4)
+    good = [csv(ID, f'[{{"bbox": [1, 2, 3, 4], "text": "{"x" * rnd.choice((1, 30, 900))}"}}]') for _ in range(150)]
+    broken = [f'{ID},"[{BOX}', f'{ID},"a"b', "x.jpg,", f"{ID}", f'{ID},"[]",', f'"{ID},"[]"', f'{ID},"[\n{{""bbox"": [1, 2, 3, 4]}}\n\n]"', ""]
+    texts = {"a.csv": "image,regions\n" + "\n".join(rnd.choice(broken) if rnd.random() < 0.3 else g for g in good) + "\n", "b.csv": "", "c.csv": "\n".join(good[:3]), "d.csv": "no record start\n" * 400, "e.csv": f'{ID},"[{BOX}\n' * 60}
+    for name, t in texts.items():
+        (tmp_path / name).write_text(t, newline="")
+    want = []
+    for name, t in texts.items():
+        for r in records.parse_records(t):
+            line = t[r.start : r.end]
+            if line and line != "image,regions":
+                bad = records.parse_line(line)[2]
+                want.append((name, bad[0][0] if bad else None))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in ("1500", "20000", before):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            fit, unfit = records.load_path(spark, str(tmp_path))
+            got = [(r["path"].rsplit("/", 1)[1], None) for r in fit.collect()] + [(r["path"].rsplit("/", 1)[1], r["reason"]) for r in unfit.collect()]
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        key = lambda x: (x[0], x[1] or "")
+        assert sorted(got, key=key) == sorted(want, key=key)
+
+
+def test_deep_values():
+    """Values nest as deep as they like; what is wrong below is found."""
+    for n in (10, 5_000, 200_000):
+        deep = "[" * n + "]" * n
+        box = '{"bbox": [1, 2, 3, 4], "extra": %s, "text": "x"}'
+        good, bad = records.parse_regions(f"[{box % deep}, {box % 1}]")
+        assert not bad and [g["text"] for g in good] == ["x", "x"]
+        assert records.parse_regions(f"[{box % deep[:-1]}]")[1]
+        nested = '{"a": ' * n + "{}" + "}" * n
+        assert not records.parse_regions(f"[{box % nested}]")[1]
+        assert records.parse_regions(f"[{box % nested.replace('{}', '{,}')}]")[1]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.recursive(st.none() | st.booleans() | st.integers() | st.floats(allow_nan=False, allow_infinity=False) | st.text(), lambda c: st.lists(c, max_size=4) | st.dictionaries(st.text(), c, max_size=4)), st.integers(0, 400), st.sampled_from("[]{},:\"x 1"))
+def test_deep_parser_agrees(value, at, sign):
+    """The parser of deep values accepts what the other one does, and gives the same."""
+    text = json.dumps(value)
+    assert records._deep_value(text, 0) == records._value(text, 0)
+    broken = text[: at % (len(text) + 1)] + sign + text[at % (len(text) + 1) :]
+
+    def outcome(parse):
+        try:
+            return parse(broken, 0)
+        except records.Unfit:
+            return None
+
+    assert outcome(records._deep_value) == outcome(records._value)
 
 
 def test_errors_of_both_tables(spark, tmp_path):
