@@ -55,7 +55,7 @@ def cropped(content: Column, box: Column, out_size: Column, quality: int = 92) -
     return crop(content, box, out_size)
 
 
-def straightened(content: Column, least: float = 0.3, most: float = 5.0, least_ink: int = 100, quality: int = 92) -> Column:
+def straightened(content: Column, least: float = 0.3, most: float = 10.0, least_ink: int = 100, quality: int = 92) -> Column:
     """The page turned by the slant of its ink, if that lies between ``least`` and ``most`` degrees; else the page as it is."""
 
     @F.pandas_udf(T.BinaryType())

@@ -11,6 +11,7 @@ PROMPTS = {
     "classify": "Is this page mostly mathematics? Answer with JSON: {\"page_type\": \"math\"} or {\"page_type\": \"text\"}.",
     "detect": "Mark every block of the page. Answer with JSON: {\"blocks\": [{\"bbox_2d\": [x1, y1, x2, y2], \"block_type\": ..., \"writing_type\": ...}]}.",
     "per_line": "Mark every line and every formula of the page. Answer with JSON: {\"lines\": [{\"bbox_2d\": [x1, y1, x2, y2], \"block_type\": ...}]}.",
+    "find_lines": "Mark every line of this block, from top to bottom. Answer with JSON: {\"lines\": [[x1, y1, x2, y2], ...]}.",
     "lines": "Read this block line by line, from top to bottom, exactly as written. Answer with JSON: {\"lines\": [...]}.",
     "text": "Read this line exactly as written. Answer with JSON: {\"text\": ...}.",
     "formula": "Write this formula in LaTeX. Answer with JSON: {\"text\": ...}.",

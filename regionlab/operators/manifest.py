@@ -51,5 +51,10 @@ def tagged_union(parts: dict[str, DataFrame], tag: str = "_origin") -> DataFrame
 
 
 def numbered_shards(df: DataFrame, key: str | Column, shards: int) -> DataFrame:
-    """``shard`` 0..shards-1 of every row by hash: independent runs share the work without a global sort."""
-    return df.withColumn("shard", F.pmod(F.xxhash64(key), F.lit(shards)).cast("int"))
+    """``shard`` 0..shards-1 of every row by the MD5 of its key as text, the same in any engine: independent runs share the work without a global sort.
+
+    Null keys lie in shard 0.
+    """
+    k = F.col(key) if isinstance(key, str) else key
+    number = F.conv(F.substring(F.md5(k.cast("string").cast("binary")), 1, 8), 16, 10).cast("long")
+    return df.withColumn("shard", F.coalesce(F.pmod(number, F.lit(shards)), F.lit(0)).cast("int"))

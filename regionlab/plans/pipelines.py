@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regionlab.operators import cleaning, inference, manifest, records, scoring, splits
+from regionlab.functions.pixels import straightened
+from regionlab.functions.text import basename
+from regionlab.operators import cleaning, export, inference, manifest, records, scoring, splits
 from regionlab.sources import files
 
 
@@ -41,3 +43,20 @@ def infer(pages: DataFrame, done: DataFrame | None, backend: inference.VisionBac
     files.append_results(inference.run(todo, backend, cfg), out)
 
 
+def straighten(images: DataFrame, folder: str, cfg: inference.Config) -> DataFrame:
+    """Images (``name``, ``content``) as they are to be looked at, in ``folder``: turned by the slant of their ink if the settings say so. Those there already are left."""
+    content = straightened(F.col("content"), most=cfg.deskew_most) if cfg.deskew else F.col("content")
+    return files.write_files(images.select("name", content.alias("content")), folder)
+
+
+SAMPLES = {"detect": export.detect_samples, "transcribe": export.transcribe_samples}
+
+
+def export_samples(pages: DataFrame, out: str, names: tuple[str, ...] = files.SPLITS, tasks: tuple[str, ...] = ("detect", "transcribe"), images: DataFrame | None = None) -> dict[tuple[str, str], int]:
+    """JSON lines of chat samples of every split and task below ``out``, and their numbers. ``pages`` has a ``split``.
+
+    ``images`` (``name``): those that can be read; pages without one are left out, as their crops are.
+    """
+    if images is not None:
+        pages = pages.withColumn("__name", basename(F.col("file_name"))).join(images.select(F.col("name").alias("__name")).distinct(), "__name", "left_semi").drop("__name")
+    return {(s, t): files.write_jsonl(SAMPLES[t](pages.where(F.col("split") == s)), f"{out.rstrip('/')}/{s}/{t}") for s in names for t in tasks}

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -93,9 +95,37 @@ def read_settings(path: str) -> dict:
     if os.path.exists(path):
         with open(path, encoding="utf-8") as f:
             raw = yaml.safe_load(f) or {}
-    transcribe, detect = raw.get("transcribe") or {}, raw.get("detect") or {}
+    transcribe = raw.get("transcribe") or {}
     examples = {k: [tuple(x) for x in v or []] for k, v in (transcribe.get("few_shot_examples") or {}).items()}
-    return {"detect": detect, "preprocess": raw.get("preprocess") or {}, "postproc": raw.get("postproc") or {}, "margins": {"default": 0.05} | (transcribe.get("crop_margins") or {}), "examples": examples}
+    return {k: raw.get(k) or {} for k in ("image", "postproc", "routing")} | {"margins": {"default": 0.05} | (transcribe.get("crop_margins") or {}), "examples": examples}
+
+
+def write_files(df: DataFrame, folder: str) -> DataFrame:
+    """(``name``, ``written``) of ``df`` (``name``, ``content``): a file each below ``folder``; one that is there already is left, so a run that was broken off goes on.
+
+    Rows of null content (an image that could not be read) give no file and ``written`` null. The folder may be on any file system that
+    pyarrow knows. A file appears under its name only when it is whole.
+    """
+
+    def run(batches):
+        from pyarrow import fs
+
+        where, path = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder.removeprefix("file:"))
+        where.create_dir(path)
+        for pdf in batches:
+            done = []
+            for name, content in zip(pdf["name"], pdf["content"], strict=True):
+                to = f"{path.rstrip('/')}/{name}"
+                new = None if content is None or name is None else where.get_file_info(to).type == fs.FileType.NotFound
+                if new:
+                    part = f"{to}.{uuid.uuid4().hex}.part"
+                    with where.open_output_stream(part) as f:
+                        f.write(content)
+                    where.move(part, to)
+                done.append(new)
+            yield pdf[["name"]].assign(written=pd.Series(done, dtype="boolean"))
+
+    return df.select("name", "content").mapInPandas(run, "name string, written boolean")
 
 
 def write_examples(examples: DataFrame, path: str, description: str = "example") -> None:

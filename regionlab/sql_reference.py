@@ -65,9 +65,10 @@ def _iou(a: str, b: str) -> str:
 _BOTH = f"(SELECT row_id, g.image, gt, pred FROM {_GT} g JOIN {_PRED} p ON g.image = p.image)"
 _PAIRS = f"""(SELECT row_id, gi, pi, {_iou("gb", "pb")} AS iou FROM
 (SELECT row_id, gi, gb, pred[pi + 1].bbox AS pb, pi FROM (SELECT row_id, gi, gt[gi + 1].bbox AS gb, pred, unnest(range(len(pred))) AS pi FROM (SELECT *, unnest(range(len(gt))) AS gi FROM {_BOTH}))))"""
-_MATCHES = f"""(SELECT row_id, list_reduce(list_transform(list_sort(list({{'c': -iou, 'gi': gi, 'pi': pi}})), lambda x: [x]),
+_MATCHES_FROM = f"""(SELECT row_id, list_reduce(list_transform(list_sort(list({{'c': -iou, 'gi': gi, 'pi': pi}})), lambda x: [x]),
   lambda a, x: CASE WHEN len(list_filter(a, lambda k: k.gi = x[1].gi OR k.pi = x[1].pi)) > 0 THEN a ELSE list_concat(a, x) END) AS m
-FROM {_PAIRS} WHERE iou >= 0.5 GROUP BY row_id)"""
+FROM {_PAIRS} WHERE iou >= @ GROUP BY row_id)"""
+_MATCHES = _MATCHES_FROM.replace("@", "0.5")
 
 _SPACE = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _STRIP = f"regexp_replace({{0}}, '^[{_SPACE}]+|[{_SPACE}]+$', '', 'g')"
@@ -208,6 +209,8 @@ FROM (SELECT row_id, idx, bbox, unnest(range(3)) AS k FROM {_LONG} WHERE {_OK_BO
         "fitted_sizes": """SELECT row_id, CASE WHEN px > 1000000 THEN trunc(image_width * sqrt(1000000.0::DOUBLE / px))::INT ELSE image_width END AS w, CASE WHEN px > 1000000 THEN trunc(image_height * sqrt(1000000.0::DOUBLE / px))::INT ELSE image_height END AS h
 FROM (SELECT *, image_width::DOUBLE * image_height AS px FROM metadata WHERE image_width > 0 AND image_height > 0)""",
         "payload_items": f"SELECT row_id, coalesce(len(items), 0)::INT AS items FROM {_ITEMS}",
+        "payload_repair": f"""SELECT row_id, length(CASE WHEN s = '' THEN '[]' WHEN {_STRICT.replace("{0}", "s")} THEN s WHEN contains(s, '}}') AND {_STRICT.replace("{0}", "cut")} THEN cut ELSE '[]' END)::INT AS kept
+FROM (SELECT *, regexp_extract(s, '(?s)^.*\\}}') || ']' AS cut FROM (SELECT row_id, regexp_extract(coalesce(regions, ''), '(?s)\\[.*\\]') AS s FROM sample_submission))""",
         "type_aliases": _golden(aliases, "given, type"),
         "missing_images": f"SELECT DISTINCT image FROM {_GT} WHERE image NOT IN (SELECT image FROM sample_submission WHERE image IS NOT NULL)",
         "aligned_submission": f"""SELECT image, regions FROM sample_submission WHERE image IN (SELECT image FROM {_GT})

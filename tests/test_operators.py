@@ -130,16 +130,16 @@ def test_export(spark):
 
 
 def test_inference(spark, tmp_path):
-    def failing(task, image, box, rtype):
-        if "bad" in image:
+    def failing(request):
+        if "bad" in request.image:
             raise RuntimeError("no such picture")
-        return inference.fake_backend(task, image, box, rtype)
+        return inference.fake_backend(request)
 
     rows = [("1", "school", "math1", 100, 100), ("2", "archive", "text1", 200, 100), ("3", "school", "bad", 100, 100)]
     pages = spark.createDataFrame(rows, "uuid string, source string, image string, image_width int, image_height int")
     out = str(tmp_path / "results")
     pipelines.infer(pages.where("uuid <> '2'"), None, failing, out)
-    pipelines.infer(pages, spark.read.parquet(out), failing, out, inference.Config(nms=True))
+    pipelines.infer(pages, spark.read.parquet(out), failing, out, inference.Config(nms=0.5))
     got = {r["uuid"]: r["regions"] for r in spark.read.parquet(out).collect()}
     assert [(r["type"], r["bbox"], r["transcription"]) for r in got["1"]] == [("handwritten", [0, 0, 50, 10], "x"), ("formula", [0, 20, 50, 30], "x"), ("handwritten", [0, 40, 50, 50], "x")]
     assert [(r["type"], r["bbox"], r["transcription"]) for r in got["2"]] == [("printed", [20, 10, 180, 30], "one"), ("printed", [20, 30, 180, 50], "two"), ("image", [20, 50, 180, 90], "")]
@@ -147,6 +147,50 @@ def test_inference(spark, tmp_path):
     assert spark.read.parquet(out).count() == 3
 
 
+REQUEST = inference.Request("text", "i", None, None, None, "read", 10)
+
+
+def test_requests(spark):
+    """Prompt, longest answer, margin and size of the part reach the model; blocks are cut into lines by a question of their own."""
+
+    def telling(q):
+        if q.task in ("text", "lines"):
+            return json.dumps({"text": f"{q.task} {q.box} {q.size} {q.max_tokens} {q.prompt[:9]} {q.prompt[-3:]}"}), 0, 0
+        return inference.fake_backend(q)
+
+    pages = spark.createDataFrame([("1", "archive", "x", 1000, 1000), ("2", "school", "x", 1000, 50), ("3", "school", "x", 0, 0)], "uuid string, source string, image string, image_width int, image_height int")
+    cfg = inference.Config(find_lines=True, margins={"default": 0.05, "archive": 0.1}, examples={"printed": [("d", "зр")]}, at_once=2)
+    got = {r["uuid"]: [(x["type"], x["bbox"], x["transcription"]) for x in r["regions"]] for r in inference.run(pages, telling, cfg).collect()}
+    # the block [100, 100, 900, 500] is looked at with 3 %: [76, 88, 924, 512]; its lines are 40 % and 50 % of that
+    assert got["1"][:2] == [("printed", [76, 88, 924, 257], "text [0, 72, 1000, 273] [1000, 201] 1024 Read this  зр"), ("printed", [76, 300, 924, 512], "text [0, 279, 1000, 533] [1000, 254] 1024 Read this  зр")]
+    assert got["1"][2] == ("image", [100, 500, 900, 900], "")
+    assert len(got["2"]) == 3 and got["3"] == []
+    whole = inference.run(pages.where("uuid = '1'"), telling, inference.Config()).first()["regions"]
+    assert whole[0]["transcription"].startswith("lines [60, 80, 940, 520] None 2048 Read this")
+
+
+def test_settings(spark, tmp_path):
+    (tmp_path / "s.yaml").write_text("image: {deskew: true}\npostproc: {nms_iou: 0.4}\ntranscribe:\n  crop_margins: {archive: 0.03}\n  few_shot_examples: {table: [[d, g]]}\nrouting: {math_shortcircuit_min_lines: 5}\n")
+    c = inference.Config.of(files.read_settings(str(tmp_path / "s.yaml")), attempts=2)
+    assert c == inference.Config(nms=0.4, per_line_from=5, attempts=2, margins={"default": 0.05, "archive": 0.03}, examples={"table": [("d", "g")]}, deskew=True)
+    assert inference.Config.of(files.read_settings(str(tmp_path / "none.yaml"))) == inference.Config()
+
+
+def test_written_files(spark, tmp_path):
+    df = spark.createDataFrame([("a.jpg", b"1"), ("b.jpg", None), ("c.jpg", b"3")], "name string, content binary")
+    (tmp_path / "c.jpg").write_bytes(b"old")
+    assert {tuple(r) for r in files.write_files(df, str(tmp_path)).collect()} == {("a.jpg", True), ("b.jpg", None), ("c.jpg", False)}
+    assert (tmp_path / "a.jpg").read_bytes() == b"1" and (tmp_path / "c.jpg").read_bytes() == b"old" and len(os.listdir(tmp_path)) == 2
+
+
+def test_export_samples(spark, tmp_path):
+    p = page(spark, "слово", w=1000, h=1000).withColumn("split", F.lit("train")).unionByName(page(spark, "інше", name="b.jpg", w=1000, h=1000).withColumn("split", F.lit("test")))
+    images = spark.createDataFrame([("a.jpg",)], "name string")
+    n = pipelines.export_samples(p, str(tmp_path), images=images)
+    assert n == {("train", "detect"): 1, ("train", "transcribe"): 1, ("silver", "detect"): 0, ("silver", "transcribe"): 0, ("test", "detect"): 0, ("test", "transcribe"): 0}
+    assert pipelines.export_samples(p, str(tmp_path), names=("test",), tasks=("transcribe",)) == {("test", "transcribe"): 1}
+
+
 def test_retry():
     waits, calls = [], []
 
@@ -156,13 +200,13 @@ def test_retry():
             raise RuntimeError("429 too many")
         return "ok", 1, 1
 
-    assert inference.call_with_retry(busy, 4, "text", "i", None, None, wait=waits.append) == ("ok", 1, 1)
+    assert inference.call_with_retry(busy, 4, REQUEST, wait=waits.append) == ("ok", 1, 1)
     assert len(waits) == 2
 
     def broken(*args):
         raise ValueError("nothing")
 
-    assert inference.call_with_retry(broken, 4, "text", "i", None, None, wait=waits.append)[0] == inference.FAILED
+    assert inference.call_with_retry(broken, 4, REQUEST, wait=waits.append)[0] == inference.FAILED
 
 
 def test_sources(spark, tmp_path):
