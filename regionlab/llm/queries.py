@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from regionlab.llm import confusables, mixing, overlap, packing, repetition, subjects, tokens
+from regionlab.llm import confusables, mixing, overlap, packing, repetition, sql, subjects, tokens
 from regionlab.operators import records
 from regionlab.session import spread, table, written
 
@@ -79,6 +79,12 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return overlap.overlaps(_compared(spark, d)).select(F.least("train_row", "eval_row").alias("row_id_a"), F.greatest("train_row", "eval_row").alias("row_id_b"))
 
 
+def p5_images(spark: SparkSession, d: str) -> DataFrame:
+    """The pairs of rows that have the same image."""
+    pairs = overlap.overlaps(_compared(spark, d)).where("tie = 'image'")
+    return pairs.select(F.least("train_row", "eval_row").alias("row_id_a"), F.greatest("train_row", "eval_row").alias("row_id_b"))
+
+
 def p5_report(spark: SparkSession, d: str) -> DataFrame:
     """Pairs, and evaluation rows with any, per evaluation split and source."""
     source = F.coalesce(mixing.source_key(F.col("source")), F.lit("unknown"))
@@ -106,6 +112,19 @@ def p6_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.containers(p6_packed(spark, d))
 
 
+def p6_kept(spark: SparkSession, d: str) -> DataFrame:
+    """What packing promises, for each capacity: documents placed, wholly so, and containers overfull, documents cut needlessly, numbers left out."""
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
+    sizes = packing.sized(docs, tokens.token_count(F.col("text")))
+    packed = written(packing.pack(sizes, _limits(spark, d)))
+    by = packed.groupBy("limit_name", "capacity", "doc_id").agg(F.sum("n_tokens").alias("placed"), F.max("piece").alias("cut")).join(sizes, "doc_id")
+    docs_ = by.groupBy("limit_name", "capacity").agg(
+        F.count("*").alias("documents"), F.count_if(F.col("placed") == F.col("n_tokens")).alias("wholly_placed"), F.count_if((F.col("cut") >= 0) & (F.col("n_tokens") <= F.col("capacity"))).alias("cut_needlessly")
+    )
+    c = packing.containers(packed).groupBy("limit_name").agg(F.count_if(F.col("unused") < 0).alias("overfull"), (F.max("container") + 1 - F.count("*")).alias("gaps"))
+    return docs_.join(c, "limit_name").select("limit_name", "capacity", "documents", "wholly_placed", "overfull", "cut_needlessly", "gaps")
+
+
 def _mix(spark: SparkSession, d: str):
     docs = spread(table(spark, d, "documents").select("doc_id", "source", "text"))
     sized = written(docs.select("doc_id", "source", tokens.token_count(F.col("text")).alias("n_tokens")))
@@ -117,6 +136,16 @@ def p7_mixed(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d)[0]
 
 
+def p7_kept(spark: SparkSession, d: str) -> DataFrame:
+    """What mixing promises: every source with its target, the documents it has, and those taken more often than allowed."""
+    chosen, shares = _mix(spark, d)
+    over = chosen.groupBy("source").agg(F.sum("repeats").alias("__r"), F.max("repeats").alias("most"))
+    has = spread(table(spark, d, "documents").select("source", "text")).where(tokens.token_count(F.col("text")) > 0)
+    has = has.groupBy(mixing.source_key(F.col("source")).alias("source")).agg(F.count("*").alias("n"))
+    r = mixing.reached(chosen, shares).select("source", "target_share", "max_repeats").join(has, "source", "left").join(over, "source", "left")
+    return r.select("source", F.round("target_share", 6).alias("target_share"), "max_repeats", F.coalesce("n", F.lit(0)).alias("documents"), F.coalesce((F.col("most") > F.col("max_repeats")).cast("long"), F.lit(0)).alias("over_cap"))
+
+
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     """Target and reached share of every source."""
     return mixing.reached(*_mix(spark, d))
@@ -154,12 +183,15 @@ QUERIES = {
     "p5_found": p5_found,
     "p5_report": p5_report,
     "p5_links": p5_links,
+    "p5_images": p5_images,
     "p6_packed": p6_packed,
     "p6_containers": p6_containers,
+    "p6_kept": p6_kept,
     "p7_mixed": p7_mixed,
     "p7_shares": p7_shares,
+    "p7_kept": p7_kept,
     "p8_found": p8_found,
     "p8_mixtures": p8_mixtures,
     "p8_composition": p8_composition,
 }
-SQL: dict[str, str] = {}
+SQL = {"p1_found": sql.P1_FOUND, "p4_found": sql.P4_FOUND, "p5_images": sql.P5_IMAGES, "p6_kept": sql.P6_KEPT, "p7_kept": sql.P7_KEPT}
