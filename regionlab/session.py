@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
-from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -46,7 +49,9 @@ def ship(spark: SparkSession) -> None:
         return
     _shipped.add(sc.applicationId)
     home = os.path.dirname(os.path.abspath(__file__))
-    path = os.path.join(tempfile.mkdtemp(prefix="regionlab-"), "regionlab.zip")
+    folder = tempfile.mkdtemp(prefix="regionlab-")  # of the driver, for this file only
+    atexit.register(shutil.rmtree, folder, True)
+    path = os.path.join(folder, "regionlab.zip")
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
         for folder, _, names in os.walk(home):
             for n in sorted(names):
@@ -111,10 +116,33 @@ def shared_folder(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/regionlab-{kind}-{uuid.uuid4().hex}"
 
 
+_scopes: list[list[str]] = []
+
+
 def until_exit(spark: SparkSession, path: str) -> None:
-    """An existing folder of the shared folder goes when the driver's JVM ends."""
+    """An existing folder of the shared folder goes at the end of the ``temporary`` scope that it was made in, or else when the driver's JVM ends."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    if _scopes:
+        _scopes[-1].append(path)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """What operators write for themselves inside goes at the end; results must have been read or written by then.
+
+    A session that runs many queries holds no more than one query's tables that way.
+    """
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for path in _scopes.pop():
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            fs = where.getFileSystem(conf)
+            fs.delete(where, True)
+            fs.cancelDeleteOnExit(where)
 
 
 def written(df: DataFrame, *partition_by: str) -> DataFrame:
