@@ -26,7 +26,8 @@ from pyspark.sql import types as T
 
 from regionlab.llm.confusables import canonical, words
 
-SAMPLE_ROWS = 400  # rows on which cost and selectivity are measured; they set the order of the rules only
+SAMPLE_ROWS = 400
+SAMPLE_LENGTH = 100_000  # rows on which cost and selectivity are measured; they set the order of the rules only
 
 
 def covered(w: Sequence[str], run: int) -> int:
@@ -122,7 +123,9 @@ def reaches(text: str | None, threshold: float, run: int, rules: Sequence[Rule])
 
 def repetitive(df: DataFrame, text: str = "text", threshold: float = 0.4, run: int = 3, sample_rows: int = SAMPLE_ROWS) -> tuple[DataFrame, list[Measured]]:
     """(rows whose share of repeated words is at least ``threshold``, the cascade used). All columns stay."""
-    sample = [r[0] for r in df.select(F.col(text)).where(F.col(text).isNotNull()).limit(sample_rows).collect()]
+    # one text in eight by its hash, whole ones of a size that so many of fit the driver; the sample settles the order of the rules only
+    drawn = df.select(F.col(text)).where((F.pmod(F.xxhash64(text), F.lit(8)) == 0) & (F.length(text) <= SAMPLE_LENGTH))
+    sample = [r[0] for r in drawn.limit(sample_rows).collect()]
     plan = plan_cascade(sample, threshold, run)
     by_name = {r.name: r for r in RULES}
     rules = [by_name[m.name] for m in plan]
