@@ -176,17 +176,21 @@ class Search:
     def close(self) -> Iterator[tuple[int, int, int, int, int]]:
         """(query, text, common words, spans, words of the query in them) of all texts that are almost the same, equal ones included."""
         run = self.index.run
-        for q, t in self.candidates():
-            distinct, back = np.unique(t, return_inverse=True)
-            texts = self.index.texts(distinct)
-            for i, k, j in zip(q.tolist(), back.tolist(), t.tolist(), strict=True):
-                a, b = self.coded[i], texts[k]
-                spans = common_spans(a, b, run)
-                covered = sum(y - x for x, y in spans)
-                if covered >= least_covered(len(b), len(a), run, self.min_common):
-                    c = common_words(a, b)
-                    if c >= common_due(len(b), len(a), self.min_common):
-                        yield i, j, c, len(spans), covered
+        found = list(self.candidates())
+        if not found:
+            return
+        query, text = (np.concatenate(x) for x in zip(*found, strict=True))
+        # the texts of all candidates are read back together: no more than the shard's words
+        distinct, back = np.unique(text, return_inverse=True)
+        texts = self.index.texts(distinct)
+        for i, k, j in zip(query.tolist(), back.tolist(), text.tolist(), strict=True):
+            a, b = self.coded[i], texts[k]
+            spans = common_spans(a, b, run)
+            covered = sum(y - x for x, y in spans)
+            if covered >= least_covered(len(b), len(a), run, self.min_common):
+                c = common_words(a, b)
+                if c >= common_due(len(b), len(a), self.min_common):
+                    yield i, j, c, len(spans), covered
 
 
 LINKS = "train_key string, eval_key string, common int, spans int, covered int"

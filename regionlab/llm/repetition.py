@@ -26,8 +26,8 @@ from pyspark.sql import types as T
 
 from regionlab.llm.confusables import canonical, words
 
-SAMPLE_ROWS = 400
-SAMPLE_LENGTH = 100_000  # rows on which cost and selectivity are measured; they set the order of the rules only
+SAMPLE_ROWS = 400  # rows on which cost and selectivity are measured; they set the order of the rules only
+SAMPLE_LENGTH = 100_000  # characters of such a row at most
 
 
 def covered(w: Sequence[str], run: int) -> int:
