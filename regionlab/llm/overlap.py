@@ -32,7 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regionlab.llm.confusables import skeleton, words
@@ -328,11 +328,20 @@ def close_texts(p: DataFrame, shard_words: int = SHARD_WORDS, part_words: int =
 
     # written, so that no index is built twice
     indexes = written(dealt.groupBy("shard").applyInPandas(build, "shard int, blob binary"))
-    parts = spark.createDataFrame(sorted({(no, k) for _, no, k in routes}), "shard int, parts int")
-    indexes = indexes.join(F.broadcast(parts), "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "blob")
+    # a group for every part of a shard's training texts, with the shard's index; each has a partition of its own, so that what a task
+    # reads does not grow with the data
+    parts = dict(sorted({(no, k) for _, no, k in routes}))
+    first = dict(zip(parts, np.cumsum([0, *parts.values()]).tolist(), strict=False))
+    groups = sum(parts.values())
+    numbered = list(enumerate(own_partitions(spark, groups)))
+    slots = lambda: F.broadcast(spark.createDataFrame(numbered, "no int, slot int"))
+    of_shard = spark.createDataFrame([(no, first[no], k) for no, k in parts.items()], "shard int, first int, parts int")
+    indexes = indexes.join(F.broadcast(of_shard), "shard").select(F.explode(F.sequence(F.col("first"), F.col("first") + F.col("parts") - 1)).alias("no"), "blob").join(slots(), "no")
     # a row per length that occurs and shard that is compatible
-    routed = classes.where("side = 'train'").join(F.broadcast(spark.createDataFrame(routes, "n int, shard int, parts int")), "n")
-    routed = routed.select("shard", F.pmod(F.xxhash64("text_key"), F.col("parts")).cast("int").alias("part"), "text_key", "words")
+    way = spark.createDataFrame([(n, first[no], k) for n, no, k in routes], "n int, first int, parts int")
+    routed = classes.where("side = 'train'").join(F.broadcast(way), "n")
+    routed = routed.select((F.col("first") + F.pmod(F.xxhash64("text_key"), F.col("parts"))).cast("int").alias("no"), "text_key", "words").join(slots(), "no")
+    routed, indexes = (x.drop("no").repartition(groups, "slot") for x in (routed, indexes))
 
     def look_up(texts: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
         found = []
@@ -340,10 +349,19 @@ def close_texts(p: DataFrame, shard_words: int = SHARD_WORDS, part_words: int =
             found = list(close_to(Index.load(index["blob"].iloc[0]), texts["text_key"].tolist(), [t.split(" ") for t in texts["words"]], min_common))
         return pd.DataFrame(found, columns=["train_key", "eval_key", "common", "spans", "covered"])
 
-    # a partition for every group, more or less: what one task reads does not grow with the data
-    groups = 4 * sum({no: k for _, no, k in routes}.values())
-    routed, indexes = routed.repartition(groups, "shard", "part"), indexes.repartition(groups, "shard", "part")
-    return routed.groupBy("shard", "part").cogroup(indexes.groupBy("shard", "part")).applyInPandas(look_up, LINKS)
+    return routed.groupBy("slot").cogroup(indexes.groupBy("slot")).applyInPandas(look_up, LINKS)
+
+
+def own_partitions(spark: SparkSession, n: int) -> list[int]:
+    """``n`` numbers that hash partitioning into ``n`` partitions sends to one each."""
+    found: dict[int, int] = {}
+    begin = 0
+    while len(found) < n:
+        ids = spark.range(begin, begin + 16 * n, 1, 1).select(F.col("id").cast("int").alias("k"))
+        for r in ids.groupBy(F.pmod(F.hash("k"), F.lit(n)).alias("p")).agg(F.min("k").alias("k")).collect():
+            found.setdefault(r["p"], r["k"])
+        begin += 16 * n
+    return [found[p] for p in range(n)]
 
 
 def class_links(p: DataFrame) -> DataFrame:

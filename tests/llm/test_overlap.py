@@ -126,6 +126,13 @@ def test_salted_join(spark):
     assert plain.count() > 3000 and got.exceptAll(plain).count() == 0 == plain.exceptAll(got).count()
 
 
+def test_own_partitions(spark):
+    for n in (1, 2, 13, 200):
+        k = o.own_partitions(spark, n)
+        where = spark.createDataFrame([(x,) for x in k], "slot int").repartition(n, "slot").select(F.spark_partition_id()).collect()
+        assert len(k) == n and sorted(r[0] for r in where) == list(range(n))
+
+
 def test_repeated_words_stay_small():
     """A text of one word over and over looks its one run up once."""
     index = fmindex.Index.load(fmindex.Index.build(["a"], [" ".join(["a"] * 50_000)], 2).dump())
