@@ -209,6 +209,11 @@ FROM (SELECT row_id, idx, bbox, unnest(range(3)) AS k FROM {_LONG} WHERE {_OK_BO
         "fitted_sizes": """SELECT row_id, CASE WHEN px > 1000000 THEN trunc(image_width * sqrt(1000000.0::DOUBLE / px))::INT ELSE image_width END AS w, CASE WHEN px > 1000000 THEN trunc(image_height * sqrt(1000000.0::DOUBLE / px))::INT ELSE image_height END AS h
 FROM (SELECT *, image_width::DOUBLE * image_height AS px FROM metadata WHERE image_width > 0 AND image_height > 0)""",
         "payload_items": f"SELECT row_id, coalesce(len(items), 0)::INT AS items FROM {_ITEMS}",
+        # the frame of the answers is that of the page: coordinates are only made whole
+        "payload_blocks": f"""WITH i AS (SELECT row_id, unnest(items) AS e, unnest(range(len(items))) AS i FROM {_ITEMS}),
+l AS (SELECT row_id, i, e, list_transform(CASE WHEN json_type(e, '$.bbox_2d') = 'ARRAY' THEN json_extract_string(e, '$.bbox_2d[*]') ELSE json_extract_string(e, '$.bbox[*]') END, lambda c: try_cast(trunc(try_cast(c AS DOUBLE)) AS INT)) AS v FROM i),
+k AS (SELECT row_id, i, e, least(v[1], v[3]) AS x1, v FROM l WHERE len(v) >= 4 AND abs(v[3] - v[1]) >= 3 AND abs(v[4] - v[2]) >= 3)
+SELECT row_id, (row_number() OVER (PARTITION BY row_id ORDER BY i) - 1)::INT AS no, coalesce(json_extract_string(e, '$.block_type'), 'text_block') AS block_type, coalesce(json_extract_string(e, '$.writing_type'), 'handwritten') AS writing_type, x1 FROM k""",
         "payload_repair": f"""SELECT row_id, length(CASE WHEN s = '' THEN '[]' WHEN {_STRICT.replace("{0}", "s")} THEN s WHEN contains(s, '}}') AND {_STRICT.replace("{0}", "cut")} THEN cut ELSE '[]' END)::INT AS kept
 FROM (SELECT *, regexp_extract(s, '(?s)^.*\\}}') || ']' AS cut FROM (SELECT row_id, regexp_extract(coalesce(regions, ''), '(?s)\\[.*\\]') AS s FROM sample_submission))""",
         "type_aliases": _golden(aliases, "given, type"),
