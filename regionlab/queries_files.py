@@ -9,12 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regionlab.functions import payload
-from regionlab.functions.text import basename
-from regionlab.operators import ensemble, inference, manifest
+from regionlab.functions.geometry import usable
+from regionlab.functions.text import basename, clean_lines, distinct_characters, preview, strip_payload
+from regionlab.operators import ensemble, inference, manifest, splits
 from regionlab.queries_reference import REGION, _matched
 from regionlab.session import shared_folder, spread, table, until_exit
 from regionlab.sources import files
-from regionlab.sql_reference import _BOTH, _MATCHES_FROM, _NAME, _strip
+from regionlab.sql_reference import _BOTH, _LONG, _MATCHES_FROM, _NAME, _OK_BOX, _RES, _SHA_ORDER, _strip
 from regionlab.sql_scores import distance
 
 
@@ -111,10 +112,55 @@ def inferred_regions(spark: SparkSession, d: str) -> DataFrame:
     return r.select("uuid", "idx", "r.type", "r.transcription", *[F.col("r.bbox")[k].alias(n) for k, n in enumerate(("x1", "y1", "x2", "y2"))])
 
 
+def text_functions(spark: SparkSession, d: str) -> DataFrame:
+    """Previews, distinct characters and clean lines of page texts; answers without thoughts and fences."""
+    t = table(spark, d, "metadata").select("row_id", "text").where("text is not null")
+    fenced = F.concat(F.lit("<think>one\ntwo</think>\n```json\n"), F.col("text"), F.lit("\n``` \n"))
+    lines = clean_lines(F.split("text", "\n", -1))
+    return t.select(
+        "row_id", preview(F.col("text")).alias("preview"), F.length(distinct_characters(F.col("text"))).alias("characters"), F.coalesce(F.size(lines), F.lit(0)).alias("lines"), strip_payload(fenced).alias("bare"),
+    )
+
+
+def requests(spark: SparkSession, d: str) -> DataFrame:
+    """What a model would be asked of every region of a page of known size: the part with its source's margin, its size, the longest answer."""
+    cfg = inference.Config(margins={"default": 0.05, "archive": 0.03}, examples={"table": [("cells", "а|б")]})
+    long = table(spark, d, "metadata", regions=("bbox", "type")).where("image_width > 0 and image_height > 0")
+    long = long.select("row_id", "source", "image_width", "image_height", F.posexplode("regions").alias("idx", "r")).where(usable(F.col("r.bbox")))
+    q = inference.asked(long.withColumns({"task": F.lit("text"), "box": F.col("r.bbox"), "rtype": F.col("r.type")}), cfg)
+    crop = [F.col("crop")[k].alias(n) for k, n in enumerate(("x1", "y1", "x2", "y2"))]
+    return q.select("row_id", "idx", *crop, F.col("size")[0].alias("w"), F.col("size")[1].alias("h"), "max_tokens", F.contains("prompt", F.lit("Examples:")).alias("has_examples"))
+
+
+def shuffled_head(spark: SparkSession, d: str) -> DataFrame:
+    """The first hundred pages in a seeded order."""
+    return splits.shuffled(table(spark, d, "metadata").select("row_id", "source"), "row_id").limit(100)
+
+
+def page_types(spark: SparkSession, d: str) -> DataFrame:
+    """Answers about a page's kind, made of sources: right, unknown, broken."""
+    s = F.coalesce("source", F.lit("?"))
+    answer = F.when(F.col("row_id") % 3 == 0, F.concat(F.lit('Well: {"page_type": "math", "of": '), F.to_json(F.struct(s.alias("s"))), F.lit("}"))).when(F.col("row_id") % 3 == 1, F.lit('{"page_type": "maths"}')).otherwise(F.lit('{"page_type": "math"'))
+    return table(spark, d, "metadata").select("row_id", "source").select("row_id", payload.page_type(answer).alias("page_type"))
+
+
+def payload_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """Lines, some as bare lists of coordinates, and regions in per-line form from answers about results."""
+    p = table(spark, d, "page_results").select("result_id", F.filter("regions", lambda r: r.isNotNull() & usable(r["bbox"])).alias("rs")).where(F.size("rs") > 0)
+    bare = F.concat(F.lit('{"lines": ['), F.array_join(F.transform("rs", lambda r: F.to_json(r["bbox"])), ", "), F.lit("]}"))
+    named = F.concat(F.lit("Answer:\n"), F.to_json(F.struct(F.transform("rs", lambda r: F.struct(r["bbox"].alias("bbox_2d"), r["type"].alias("block_type"))).alias("blocks"))))
+    k = [F.lit(x) for x in (500, 500, 1000, 1000)]
+    lines = p.select("result_id", F.lit("line").alias("kind"), F.posexplode(payload.lines(bare, *k, 7, 9)).alias("no", "b"), F.lit(None).cast("string").alias("type"))
+    per = p.select("result_id", F.lit("region").alias("kind"), F.posexplode(payload.per_line(named, *k)).alias("no", "t")).select("result_id", "kind", "no", F.col("t.bbox").alias("b"), F.col("t.rtype").alias("type"))
+    both = lines.unionByName(per)
+    return both.select("result_id", "kind", "no", "type", *[F.col("b")[i].alias(n) for i, n in enumerate(("x1", "y1", "x2", "y2"))])
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         manifest_file, submission_file, results_file, solution_rows, file_sink, run_shards, ensemble_merged, ensemble_agreeing, payload_texts, payload_lines, known_types, inferred_regions,
+        text_functions, requests, shuffled_head, page_types, payload_boxes,
     )
 }
 
@@ -149,4 +195,18 @@ WHEN contains(c, 'text') THEN 'printed' ELSE 'annotation' END AS type, count(*)
 FROM metadata WHERE file_name IS NOT NULL AND image_width > 0 AND image_height > 0)
 SELECT uuid, 0 AS idx, 'printed' AS type, 'one' AS transcription, x1, ya AS y1, x2, trunc(ya + (yb - ya) / 2.0)::INT AS y2 FROM b UNION ALL SELECT uuid, 1, 'printed', 'two', x1, trunc(ya + (yb - ya) / 2.0)::INT, x2, yb FROM b
 UNION ALL SELECT uuid, 2, 'image', '', x1, yb, x2, yc FROM b""",
+    "text_functions": f"""SELECT row_id, CASE WHEN length(text) > 500 THEN text[:250] || ' … ' || text[-250:] ELSE text END AS preview, len(list_distinct(regexp_extract_all(text, '(?s).')))::INT AS characters,
+len(list_filter(list_transform(string_split(text, chr(10)), lambda s: {_strip("s")}), lambda s: s <> ''))::INT AS lines, {_strip("text")} AS bare FROM metadata WHERE text IS NOT NULL""",
+    "requests": f"""WITH b AS (SELECT row_id, idx, bbox, image_width AS w, image_height AS h, rtype, CASE WHEN source = 'archive' THEN 0.03::DOUBLE ELSE 0.05::DOUBLE END AS m FROM {_LONG} WHERE {_OK_BOX} AND image_width > 0 AND image_height > 0),
+c AS (SELECT row_id, idx, rtype, greatest(0, bbox[1] - trunc((bbox[3] - bbox[1]) * m)::INT) AS x1, greatest(0, bbox[2] - trunc((bbox[4] - bbox[2]) * m)::INT) AS y1,
+least(w, bbox[3] + trunc((bbox[3] - bbox[1]) * m)::INT) AS x2, least(h, bbox[4] + trunc((bbox[4] - bbox[2]) * m)::INT) AS y2 FROM b)
+SELECT row_id, idx, x1, y1, x2, y2, CASE WHEN s < 128 AND s > 0 THEN trunc((x2 - x1) * (256.0::DOUBLE / s))::INT ELSE x2 - x1 END AS w, CASE WHEN s < 128 AND s > 0 THEN trunc((y2 - y1) * (256.0::DOUBLE / s))::INT ELSE y2 - y1 END AS h,
+CASE WHEN rtype = 'annotation' THEN 512 ELSE 1024 END AS max_tokens, coalesce(rtype = 'table', false) AS has_examples FROM (SELECT *, greatest(x2 - x1, y2 - y1) AS s FROM c)""",
+    "shuffled_head": f"SELECT row_id, source FROM metadata ORDER BY {_SHA_ORDER} LIMIT 100",
+    "page_types": "SELECT row_id, CASE WHEN row_id % 3 = 0 THEN 'math' ELSE 'text' END AS page_type FROM metadata",
+    "payload_boxes": f"""WITH r AS (SELECT result_id, rtype, idx, least(trunc(bbox[1] * 0.5::DOUBLE), trunc(bbox[3] * 0.5::DOUBLE))::INT AS x1, least(trunc(bbox[2] * 0.5::DOUBLE), trunc(bbox[4] * 0.5::DOUBLE))::INT AS y1,
+greatest(trunc(bbox[1] * 0.5::DOUBLE), trunc(bbox[3] * 0.5::DOUBLE))::INT AS x2, greatest(trunc(bbox[2] * 0.5::DOUBLE), trunc(bbox[4] * 0.5::DOUBLE))::INT AS y2 FROM {_RES} WHERE {_OK_BOX}),
+k AS (SELECT *, (row_number() OVER (PARTITION BY result_id ORDER BY idx) - 1)::INT AS no FROM r WHERE x2 - x1 >= 3 AND y2 - y1 >= 3)
+SELECT result_id, 'line' AS kind, no, NULL::VARCHAR AS type, x1 + 7 AS x1, y1 + 9 AS y1, x2 + 7 AS x2, y2 + 9 AS y2 FROM k
+UNION ALL SELECT result_id, 'region', no, CASE WHEN coalesce(rtype, 'text_block') = 'text_block' THEN 'handwritten' ELSE rtype END, x1, y1, x2, y2 FROM k""",
 }

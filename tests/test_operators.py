@@ -272,7 +272,7 @@ def test_sql_agrees(spark, tiny):
     con = duckdb.connect()
     for f in os.listdir(tiny):
         con.execute(f"create view {f[:-8]} as select * from '{tiny}/{f}'")
-    for name in ("p2_found", "p3_found", "p3_links", "hash_split", "clean_stats", "nms_kept", "manifest_join"):
+    for name in "p2_found p2_loaded p2_files p3_found p3_links hash_split clean_stats nms_kept manifest_join score_per_page score_report normalize_formulas ensemble_merged inferred_regions payload_blocks requests".split():
         df = e.queries()[name](spark, tiny)
         cols = sorted(df.columns)
         got = sorted(map(repr, (tuple(r[c] for c in cols) for r in df.collect())))
