@@ -64,7 +64,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 def p4_shares(spark: SparkSession, d: str) -> DataFrame:
     """The shares of repeated content of every page."""
     s = _pages(spark, d, "row_id", "text").select("row_id", repetition.shares(F.col("text")).alias("s"))
-    return s.select("row_id", "s.words", "s.repeated_words", "s.repeated_lines", "s.repeated_sentences", "s.top_run")
+    return s.select("row_id", "s.words", *[F.round(f"s.{c}", 6).alias(c) for c in ("repeated_words", "repeated_lines", "repeated_sentences", "top_run")])
 
 
 def _compared(spark: SparkSession, d: str, *keep: str) -> DataFrame:
@@ -194,4 +194,4 @@ QUERIES = {
     "p8_mixtures": p8_mixtures,
     "p8_composition": p8_composition,
 }
-SQL = {"p1_found": sql.P1_FOUND, "p4_found": sql.P4_FOUND, "p5_images": sql.P5_IMAGES, "p6_kept": sql.P6_KEPT, "p7_kept": sql.P7_KEPT}
+SQL = {"p1_found": sql.P1_FOUND, "p4_found": sql.P4_FOUND, "p4_shares": sql.P4_SHARES, "p5_images": sql.P5_IMAGES, "p6_kept": sql.P6_KEPT, "p7_kept": sql.P7_KEPT}
